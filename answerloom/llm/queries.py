@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenfile
+from . import packing, prefixhash, simhash, tokenfile
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,8 +33,16 @@ def op7_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, folder, files)
 
 
+def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op7_huffman_token_files)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
