@@ -39,10 +39,12 @@ class _Index(dict):
 class CachedEncoder:
     """``encode(texts)`` gives all ids one after another and the number of ids of each text.
 
-    ``keep`` bounds the chunks that stay known between calls (about 150 bytes each).
+    ``keep`` bounds the chunks that stay known between calls (about 200 bytes each):
+    beyond it, those that a call adds are forgotten after it. When most distinct chunks
+    of a text run turn out to be unknown then, what is kept no longer fits and all is forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -133,12 +135,12 @@ class CachedEncoder:
         if self.mode == "whole" or any(map(_ODD.search, texts)):
             ids = self._raw(texts)
             return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.fromiter(map(len, ids), np.int64, len(ids))
-        if self.known > self.keep:
-            self._reset()
+        before = self.known, self.used
         split = str.split if self.mode == "words" else _CHUNK.findall
         chunks = [split(t) for t in texts]
         n = np.fromiter(map(len, chunks), np.int64, len(chunks))
         which = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(n.sum()))
+        new = self.index.new
         self._learn()
         count = self.count[which]
         ends = np.cumsum(count)
@@ -147,7 +149,15 @@ class CachedEncoder:
         at += np.arange(total)
         edges = np.concatenate([[0], np.cumsum(n)])
         sums = np.concatenate([[0], ends])
-        return self.flat[at], sums[edges[1:]] - sums[edges[:-1]]
+        ids = self.flat[at]
+        if self.known > self.keep:
+            if 2 * len(new) > len(which):
+                self._reset()
+            else:
+                for chunk in new:
+                    del self.index[chunk]
+                self.known, self.used = before
+        return ids, sums[edges[1:]] - sums[edges[:-1]]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
