@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, prefixhash, simhash, tokenfile
+from . import media, packing, prefixhash, simhash, tokenfile
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_png_media_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_media_features(table(spark, sf_dir, "documents")).drop("hash")
+
+
 def op7_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = tokenfile.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return tokenfile.read_token_files(spark, folder, files)
@@ -42,7 +46,7 @@ def op10_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op3_png_media_hashes, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
