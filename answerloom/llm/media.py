@@ -1,13 +1,13 @@
 """Media columns: payloads as PNG images in a binary column, and perceptual hashes of them.
 
-A payload becomes an 8-bit grey image, as nearly square as its widths allow.
-Each row gets the filter (none, sub or up) with the least sum of absolute
-differences; as bytes that are no pixels deflate best as they are, the other
-two have to halve that sum. The reader
-checks the CRC of every chunk and the stream's own checksum, and undoes all
-five filters of the format with numpy. The feature is a 64-bit hash: the image
-is reduced to 32 x 32 means, its cosine transform is taken, and each of the 64
-lowest frequencies but the first gives a bit, above the median or not.
+A payload becomes an 8-bit grey image 576 samples wide. Its rows get either no
+filter or each the one (none, sub or up) with the least sum of absolute
+differences, whichever deflates better. The reader checks the CRC of every
+chunk and the stream's own checksum, and undoes all five filters of the format
+with numpy. The feature is a 64-bit hash: the samples are laid out as nearly
+square as ``WIDTHS`` allow and reduced to 32 x 32 means, their cosine transform
+is taken, and each of the 64 lowest frequencies but the first gives a bit,
+above the median or not.
 """
 
 from __future__ import annotations
@@ -40,10 +40,9 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data + b"\xff" * (whole - len(data)), len(data)
 
 
-def image_of(data: bytes) -> np.ndarray:
-    """The payload in rows: the widest of ``WIDTHS`` that is not wider than high."""
-    width = max(w for w in WIDTHS if w == WIDTHS[0] or w * w <= len(data))
-    return np.frombuffer(data, np.uint8).reshape(-1, width)
+def squared(image: np.ndarray) -> np.ndarray:
+    """The samples in rows of the widest of ``WIDTHS`` that is not wider than high."""
+    return image.reshape(-1, max(w for w in WIDTHS if w == WIDTHS[0] or w * w <= image.size))
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -57,12 +56,14 @@ def write_png(rows: np.ndarray, level: int = 6) -> bytes:
     sub[:, 1:] -= rows[:, :-1]
     up[1:] -= rows[:-1]
     cost = [np.abs(x.view(np.int8).astype(np.int16)).sum(1, dtype=np.int64) for x in (rows, sub, up)]
-    kind = np.argmin([cost[0], 2 * cost[1], 2 * cost[2]], axis=0)
-    lines = np.empty((height, width + 1), np.uint8)
-    lines[:, 0] = kind
-    lines[:, 1:] = np.where((kind == 0)[:, None], rows, np.where((kind == 1)[:, None], sub, up))
+    streams = []
+    for kind in (np.zeros(height, np.int64), np.argmin(cost, axis=0)):
+        lines = np.empty((height, width + 1), np.uint8)
+        lines[:, 0] = kind
+        lines[:, 1:] = np.where((kind == 0)[:, None], rows, np.where((kind == 1)[:, None], sub, up))
+        streams.append(zlib.compress(lines.tobytes(), level))
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", min(streams, key=len)) + _chunk(b"IEND", b"")
 
 
 def chunks_of(png: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -167,7 +168,7 @@ def media_column(docs: DataFrame) -> DataFrame:
                 for t in part.column(1):
                     data, size = payload_of(t.as_py())
                     n.append(size)
-                    media.append(write_png(image_of(data)))
+                    media.append(write_png(np.frombuffer(data, np.uint8).reshape(-1, UNIT)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,7 +187,7 @@ def media_features(media: DataFrame) -> DataFrame:
             for doc_id, n, png in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 png = png.as_py()
                 image = read_png(png)
-                payload, mark = image.tobytes(), low_frequency_hash(image)
+                payload, mark = image.tobytes(), low_frequency_hash(squared(image))
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), mark.hex(), mark))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FEATURES.values())], names=list(_FEATURES))
