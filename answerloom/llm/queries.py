@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, prefixhash, simhash, tokenfile
+from . import media, packing, prefixhash, simhash, tokenfile, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_warc_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
 def op3_png_media_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_media_features(table(spark, sf_dir, "documents")).drop("hash")
 
@@ -46,8 +50,17 @@ def op10_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op3_png_media_hashes, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op2_warc_gzip_normaliser, op3_png_media_hashes, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc_gzip_normaliser": """
+            WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+            d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+            r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+            FROM r""",
+    }
