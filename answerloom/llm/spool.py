@@ -45,11 +45,11 @@ def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, n
 def document_counts(ids: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """In how many of these documents each id occurs."""
     total, at = np.zeros(size, np.int64), 0
-    for k in range(0, len(n), 256):
-        m = n[k : k + 256]
-        seen = np.zeros((len(m), size), bool)
-        seen[np.repeat(np.arange(len(m)), m), ids[at : at + int(m.sum())]] = True
-        total += seen.sum(0)
+    for k in range(0, len(n), 255):  # so many fit a byte's sums
+        m = n[k : k + 255]
+        seen = np.zeros(len(m) * size, np.uint8)
+        seen[np.repeat(np.arange(len(m)) * size, m) + ids[at : at + int(m.sum())]] = 1
+        total += seen.reshape(len(m), size).sum(0, dtype=np.uint8)
         at += int(m.sum())
     return total
 
