@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, prefixhash, secretscan, simhash, tokenfile, warc
+from . import langid, media, packing, prefixhash, secretscan, simhash, tokenfile, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,11 @@ def op3_png_media_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_media_features(table(spark, sf_dir, "documents")).drop("hash")
 
 
+def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.trained_model(docs))
+
+
 def op6_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op2_warc_gzip_normaliser, op3_png_media_hashes, op6_markov_secret_scan, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op2_warc_gzip_normaliser, op3_png_media_hashes, op5_ftrl_language_id, op6_markov_secret_scan, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
