@@ -153,7 +153,7 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
     docs = docs.withColumn("rank", rank).withColumn("picked", rank < share[F.col("lang")] * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, some = np.zeros(BUCKETS, np.int64), False
+        df, some, seen = np.zeros(BUCKETS, np.int64), False, set()
         for batch in batches:
             some |= batch.num_rows > 0
             rows = []
@@ -162,7 +162,8 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
                 n = np.bincount(h, minlength=BUCKETS)
                 at = np.flatnonzero(n)
                 df[at] += 1
-                if picked and len(h):
+                if picked and len(h) and (lang, rank) not in seen:  # copies of a text are one sample
+                    seen.add((lang, rank))
                     rows.append((lang, rank, at.astype("<i4").tobytes(), (n[at] / len(h)).astype("<f4").tobytes(), None))
             if rows:
                 yield _sample_batch(rows)
@@ -171,10 +172,11 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
             save_counts(path, df)
             yield _sample_batch([(None, None, None, None, path)])
 
-    found = docs.mapInArrow(run, "lang string, rank long, at binary, f binary, path string").limit(4 * sample + 1_000_000).collect()
+    found = docs.mapInArrow(run, "lang string, rank long, at binary, f binary, path string").collect()
     df = sum_counts(spark, sorted(r.path for r in found if r.path), folder)
     rows, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted((r for r in found if not r.path), key=lambda r: (r["rank"], r.lang, bytes(r.at), bytes(r.f))):
+    distinct = {(r["rank"], r.lang): r for r in found if not r.path}
+    for _, r in sorted(distinct.items()):
         if taken[r.lang] < each:
             taken[r.lang] += 1
             rows.append((r.lang, np.frombuffer(bytes(r.at), "<i4").astype(np.int64), np.frombuffer(bytes(r.f), "<f4").astype(float)))
