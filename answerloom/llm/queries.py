@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, packing, prefixhash, secretscan, simhash, tokenfile, warc
+from . import langid, lmscore, media, packing, piecesample, prefixhash, secretscan, simhash, tokenfile, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,10 @@ def op3_png_media_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_media_features(table(spark, sf_dir, "documents")).drop("hash")
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.trained_model(docs))
@@ -50,6 +54,10 @@ def op7_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, folder, files)
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecesample.segmentation_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +67,19 @@ def op10_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op2_warc_gzip_normaliser, op3_png_media_hashes, op5_ftrl_language_id, op6_markov_secret_scan, op7_huffman_token_files, op9_simhash_near_duplicates, op10_prefix_hash_fingerprints)}
+    ops = (
+        op1_retrieval_packing,
+        op2_warc_gzip_normaliser,
+        op3_png_media_hashes,
+        op4_cross_entropy_difference,
+        op5_ftrl_language_id,
+        op6_markov_secret_scan,
+        op7_huffman_token_files,
+        op8_sampled_pieces,
+        op9_simhash_near_duplicates,
+        op10_prefix_hash_fingerprints,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
