@@ -26,6 +26,8 @@ from .shared import work_dir
 RADIUS, BLOCKS = 3, 6
 #: Fingerprints of one bucket that one task compares.
 SPLIT = 20_000
+#: Words of 64 distances that are held at once; in a dense bucket all of them can be links.
+CELLS = 1 << 15
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -87,7 +89,7 @@ def close_pairs(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndar
     planes = bit_planes(fps, bits)
     own = (fps[:, None] >> bits[None, :].astype(np.uint64)) & np.uint64(1)
     width, levels = planes.shape[1], radius.bit_length()
-    for first in range(0, n, step := max(1, 1_000_000 // width)):
+    for first in range(0, n, step := max(1, CELLS // width)):
         query = np.arange(first, min(n, first + step))
         q, w = np.nonzero(np.arange(width)[None, :] >= (query // 64)[:, None])
         q += first
