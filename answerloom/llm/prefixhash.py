@@ -210,7 +210,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             rows.append((None,) * 8 + (part, head, last.text, last.doc_id, True))
             yield _batch(rows, held)
 
-    docs.mapInArrow(run, _HELD).write.parquet(f"{folder}/rows")
+    # fingerprints are hexadecimal digits, which halve under zstd
+    docs.mapInArrow(run, _HELD).write.option("compression", "zstd").parquet(f"{folder}/rows")
     rows = spark.read.schema(_HELD).parquet(f"{folder}/rows")
     edges = rows.where("is_edge").select("part", "head", "tail", "tail_id")
     # numbers of ranges, one each: which range follows which
