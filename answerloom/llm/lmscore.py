@@ -6,9 +6,10 @@ hashed word pairs. A token's loss under a model is -ln P(word | previous word);
 a document's score is the mean over its tokens of the target loss less the
 background loss, so that low scores are most like the target.
 
-Counts cover every document. Each task adds up two arrays for its input and
-writes them as files; a tree of tasks sums these, so what is gathered grows
-with the input while no task holds more than two sets of arrays. Words are hashed vectorised: prefix sums of ``byte * base ** position``
+Counts cover every document. Each task adds up its input's counts and emits
+them block by block; blocks meet by number, first those of one salt and then
+all, so what is gathered grows with the input while no task holds more than two
+blocks and no key more than its share. Words are hashed vectorised: prefix sums of ``byte * base ** position``
 modulo 2 ** 64 give every word's hash from its two ends.
 """
 
@@ -24,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import atomic_output, open_input, over_files, work_dir
+from .shared import atomic_output, open_input, work_dir
 
 WORDS, PAIRS = 1 << 18, 1 << 20
 #: Weight of the pair estimate, and what is added to each word's count.
 PAIR_WEIGHT, ADDED = 0.4, 0.1
-FAN_IN = 16
+#: Buckets in one block of counts, and salts that a block's counts are dealt to at first.
+BLOCK, SALTS = 1 << 14, 64
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64)]
 _INVERSE = [np.ones(1, np.uint64)]
@@ -93,51 +95,67 @@ class Model(NamedTuple):
         return len(target), a, b, a - b
 
 
-def _save(path: str, words: np.ndarray, pairs: np.ndarray) -> None:
-    with atomic_output(path) as f:
-        f.write(zlib.compress(words.astype("<u4").tobytes() + pairs.astype("<u4").tobytes(), 1))
+def _pack(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x, dtype="<i8").tobytes(), 1)
 
 
-def _load(path: str) -> tuple[np.ndarray, np.ndarray]:
-    with open_input(path) as f:
-        flat = np.frombuffer(zlib.decompress(f.read()), "<u4")
-    return flat[: 2 * WORDS].reshape(2, WORDS), flat[2 * WORDS :].reshape(2, PAIRS)
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8").reshape(2, -1)
 
 
-def train(docs: DataFrame, folder: str) -> str:
-    """docs: text and is_target; the path of the summed counts. Counts stay below 2 ** 32 a bucket."""
+def count_blocks(docs: DataFrame) -> DataFrame:
+    """block, salt and counts (packed, 2 x BLOCK: target, background) of each task's part of ``docs`` (text, is_target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, some = np.zeros((2, WORDS), np.int64), np.zeros((2, PAIRS), np.int32), False
+        counts, some = np.zeros((2, WORDS + PAIRS), np.int64), False
         for batch in batches:
             some |= batch.num_rows > 0
             for text, target in zip(batch.column("text"), batch.column("is_target").to_pylist()):
                 w, p = hashed(text.as_py())
                 for k in (0, 1) if target else (1,):
-                    np.add.at(words[k], w, 1)
-                    np.add.at(pairs[k], p, 1)
+                    np.add.at(counts[k], w, 1)
+                    np.add.at(counts[k], WORDS + p, 1)
         if some:
-            path = f"{folder}/counts-{TaskContext.get().partitionId():07d}"
-            _save(path, words, pairs)
-            yield pa.RecordBatch.from_pydict({"path": [path]})
+            salt = TaskContext.get().partitionId() % SALTS
+            for b in range(counts.shape[1] // BLOCK):
+                part = counts[:, b * BLOCK : (b + 1) * BLOCK]
+                if part.any():
+                    yield _block(b, salt, part)
+
+    return docs.select("text", "is_target").mapInArrow(run, "block int, salt int, counts binary")
+
+
+def _block(block: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([_pack(counts)], pa.binary())], names=["block", "salt", "counts"])
+
 
-    paths, level = sorted(r.path for r in docs.select("text", "is_target").mapInArrow(run, "path string").collect()), 0
-    while len(paths) != 1:
-        groups = [(f"{folder}/sum-{level}-{k}", paths[k : k + FAN_IN]) for k in range(0, max(1, len(paths)), FAN_IN)]
+def summed(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Blocks with equal keys added up, one after another as they arrive."""
 
-        def fold(group):
-            target, members = group
-            words, pairs = np.zeros((2, WORDS), np.int64), np.zeros((2, PAIRS), np.int64)
-            for path in members:
-                w, p = _load(path)
-                words += w
-                pairs += p
-            _save(target, words, pairs)
-            yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            for block, salt, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                key = (block, salt if "salt" in keys else 0)
+                if key != now:
+                    if now is not None:
+                        yield _block(*now, total)
+                    now, total = key, np.zeros((2, BLOCK), np.int64)
+                total += _unpack(counts.as_py())
+        if now is not None:
+            yield _block(*now, total)
+
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, blocks.schema)
 
-        over_files(docs.sparkSession, groups, fold, "done long").collect()
-        paths, level = [g[0] for g in groups], level + 1
-    return paths[0]
+
+def train(docs: DataFrame, folder: str) -> str:
+    """docs: text and is_target; the path of the summed counts. The driver gets one block of each number, a fixed size in all."""
+    total = np.zeros((2, WORDS + PAIRS), np.int64)
+    for r in summed(summed(count_blocks(docs), "block", "salt"), "block").collect():
+        total[:, r.block * BLOCK : (r.block + 1) * BLOCK] += _unpack(bytes(r.counts))
+    with atomic_output(f"{folder}/counts") as f:
+        f.write(_pack(total))
+    return f"{folder}/counts"
 
 
 _MODELS: dict[str, Model] = {}
@@ -146,8 +164,9 @@ _MODELS: dict[str, Model] = {}
 def load_model(path: str) -> Model:
     if path not in _MODELS:
         _MODELS.clear()
-        words, pairs = _load(path)
-        _MODELS[path] = Model(words.astype(np.float32), pairs.astype(np.float32))
+        with open_input(path) as f:
+            counts = _unpack(f.read()).astype(np.float32)
+        _MODELS[path] = Model(counts[:, :WORDS], counts[:, WORDS:])
     return _MODELS[path]
 
 
