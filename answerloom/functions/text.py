@@ -37,6 +37,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row; without it a lambda computes it for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def short_sha(c: Column | str, length: int = 16) -> Column:
     """The first hex digits of SHA-1."""
     return F.substring(F.sha1(col(c).cast("binary")), 1, length)
@@ -150,7 +155,6 @@ def scan(c: Column | str) -> Column:
     Punctuation and conjunctions in between end the reach; a negator right before
     "doubt" or "only" does not negate.
     """
-    toks = tokens(c)
 
     def negates(t: Column, i: Column) -> Column:
         stops = [*PUNCTUATION, *REACH_ENDS]
@@ -169,7 +173,7 @@ def scan(c: Column | str) -> Column:
         both = F.transform(t, lambda w, i: F.struct(w.alias("word"), negates(t, i).alias("negated")))
         return F.filter(both, lambda s: ~s["word"].isin(list(PUNCTUATION)))
 
-    return words(toks)
+    return let(tokens(c), words)
 
 
 def valence_map(words: dict[str, int]) -> Column:
@@ -190,10 +194,13 @@ def lexical_flags(c: Column | str, known: Column) -> Column:
     """struct(plain_pos, plain_neg, flip_pos, flip_neg); flip_pos is a negated negative word."""
     signed = F.transform(scan(c), lambda s: F.struct(s["negated"].alias("negated"), word_valence(s["word"], known).alias("sign")))
 
-    def has(negated: bool, sign: int) -> Column:
-        return F.exists(signed, lambda s: (s["negated"] == negated) & (s["sign"] == sign))
+    def flags(v: Column) -> Column:
+        def has(negated: bool, sign: int) -> Column:
+            return F.exists(v, lambda s: (s["negated"] == negated) & (s["sign"] == sign))
+
+        return F.struct(has(False, 1).alias("plain_pos"), has(False, -1).alias("plain_neg"), has(True, -1).alias("flip_pos"), has(True, 1).alias("flip_neg"))
 
-    return F.struct(has(False, 1).alias("plain_pos"), has(False, -1).alias("plain_neg"), has(True, -1).alias("flip_pos"), has(True, 1).alias("flip_neg"))
+    return let(signed, flags)
 
 
 def evaluative(flags: Column) -> tuple[Column, Column]:
@@ -222,10 +229,13 @@ def lukewarm(c: Column | str, phrases: Sequence[str], known: Column | None = Non
 
 def is_firm(c: Column | str, min_words: int = 4) -> Column:
     """Long enough to be an opinion of its own, and with a shortfall in it or without a hedge."""
-    words = F.filter(tokens(c), lambda w: ~w.isin(list(PUNCTUATION)))
-    shortfall = F.exists(words, lambda w: w.isin(list(SHORTFALLS)) | w.endswith("n't"))
-    hedge = F.exists(words, lambda w: w.isin(list(HEDGES)))
-    return (F.size(words) >= min_words) & (shortfall | ~hedge)
+
+    def firm(words: Column) -> Column:
+        shortfall = F.exists(words, lambda w: w.isin(list(SHORTFALLS)) | w.endswith("n't"))
+        hedge = F.exists(words, lambda w: w.isin(list(HEDGES)))
+        return (F.size(words) >= min_words) & (shortfall | ~hedge)
+
+    return let(F.filter(tokens(c), lambda w: ~w.isin(list(PUNCTUATION))), firm)
 
 
 # -- spelling -------------------------------------------------------------

@@ -81,9 +81,14 @@ def apply_corrections(text: Column | str, fixes: dict[str, str]) -> Column:
     if not fixes:
         return t
     table = F.create_map(*[F.lit(x) for k, v in sorted(fixes.items()) for x in (k, v)])
-    words, gaps = F.regexp_extract_all(t, F.lit(WORD), 0), F.split(t, WORD, -1)
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.when(table[F.lower(F.get(words, i))].isNotNull(), X.like_case(F.get(words, i), table[F.lower(F.get(words, i))])).otherwise(F.get(words, i)), F.lit(""))))
-    return F.concat_ws("", parts)
+
+    def rebuilt(v: Column) -> Column:
+        def new(w: Column) -> Column:
+            return F.coalesce(F.when(table[F.lower(w)].isNotNull(), X.like_case(w, table[F.lower(w)])).otherwise(w), F.lit(""))
+
+        return F.concat_ws("", F.transform(v["gaps"], lambda g, i: F.concat(g, new(F.get(v["words"], i)))))
+
+    return X.let(F.struct(F.regexp_extract_all(t, F.lit(WORD), 0).alias("words"), F.split(t, WORD, -1).alias("gaps")), rebuilt)
 
 
 def protected_words(names: Iterable[str], keywords: Iterable[str] = ()) -> list[str]:
