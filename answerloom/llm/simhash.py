@@ -238,6 +238,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
     named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     named = classes.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # a table of its own, so that the join with a fingerprint that very many documents share can be split
+    named.write.parquet(f"{folder}/named")
+    named = spark.read.schema(named.schema).parquet(f"{folder}/named")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
