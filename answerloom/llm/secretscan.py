@@ -70,20 +70,27 @@ def transition_table(samples: DataFrame, smoothing: float = SMOOTHING) -> list[f
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct(start, kind, end)> of the matches of a pattern in their order."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
-    def both(m, p):
-        lengths = F.transform(m, lambda x, i: F.struct(F.length(F.get(p, i)).alias("gap"), F.length(x).alias("own")))
+    def located(v: Column) -> Column:
+        """Matches and pieces, computed once for the text, to spans."""
+        lengths = F.transform(v["found"], lambda x, i: F.struct(F.length(F.get(v["pieces"], i)).alias("gap"), F.length(x).alias("own")))
         start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.aggregate(lengths, start, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["own"]).alias("end")))).alias("out")))["out"]
 
-    spans = both(found, pieces)
-    if keep is not None:
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["own"]).alias("end"))
+            return F.struct((begin + x["own"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        spans = F.aggregate(lengths, start, step)["out"]
+        if keep is None:
+            return spans
         # positions need every match, so failing ones go afterwards
-        flags = F.transform(found, keep)
-        spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), flags.alias("f")), lambda z: z["f"]), lambda z: z["s"])
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+        both = F.arrays_zip(spans.alias("s"), F.transform(v["found"], keep).alias("f"))
+        return F.transform(F.filter(both, lambda z: z["f"]), lambda z: z["s"])
+
+    value = F.array(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("pieces")))
+    return F.when(F.size(found) > 0, F.get(F.transform(value, located), 0)).otherwise(empty)
 
 
 def mean_ratio(token: Column, table: list[float]) -> Column:
