@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import texts
+from . import ratings, texts, vectors
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "texts"]
+__all__ = ["QUERIES", "SQL", "ratings", "texts", "vectors"]
