@@ -35,8 +35,9 @@ def proper_nouns(texts: DataFrame, text: str = "text_clean") -> DataFrame:
 def spelling_candidates(counts: DataFrame, rules: SpellRules = SpellRules(), dictionary: DataFrame | None = None) -> DataFrame:
     """(word, n, candidate, candidate_n, distance) of rare words and frequent ones a letter or two away.
 
-    Words are compared within blocks of one first letter and nearly one length, so the
-    join stays an equi-join. Without a dictionary, words used often are the known ones.
+    Words one or two edits apart have a string in common that each becomes by so many
+    deletions, so the join is one of equal strings and grows with the words, not with
+    their pairs. Without a dictionary, words used often are the known ones.
     """
     known = dictionary.select(F.lower("word").alias("word")).distinct() if dictionary is not None else None
     rare = counts.where((F.col("n") < rules.min_count) & (F.length("word") >= rules.min_len) & ~F.rlike("word", F.lit("['’]")))
@@ -45,12 +46,27 @@ def spelling_candidates(counts: DataFrame, rules: SpellRules = SpellRules(), dic
     often = counts.where((F.col("n") >= rules.min_count) & (F.length("word") >= rules.min_len - 2) & ~F.rlike("word", F.lit("['’]")))
     if known is not None:
         often = often.join(known, "word", "left_semi")
-    left = rare.select("word", "n", F.substring("word", 1, 1).alias("_first"), F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)).alias("_length"))
-    right = often.select(F.col("word").alias("candidate"), F.col("n").alias("candidate_n"), F.substring("word", 1, 1).alias("_first"), F.length("word").alias("_length"))
     most = F.when(F.length("word") >= rules.long_word, 2).otherwise(1)
-    pairs = left.join(right, ["_first", "_length"]).withColumn("distance", F.levenshtein("word", "candidate", 2))
+    left = rare.select("word", F.explode(shortened(F.col("word"), F.length("word") >= rules.long_word)).alias("_key"))
+    right = often.select(F.col("word").alias("candidate"), F.explode(shortened(F.col("word"), F.length("word") >= rules.long_word - 2)).alias("_key"))
+    pairs = left.join(right, "_key").where(F.substring("word", 1, 1) == F.substring("candidate", 1, 1)).select("word", "candidate").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("word", "candidate", 2))
     twin = F.exists(X.spelling_twins(F.col("word")), lambda t: (t != F.col("word")) & (t == F.col("candidate")))
-    return pairs.where((F.col("distance") > 0) & (F.col("distance") <= most) & ~twin).select("word", "n", "candidate", "candidate_n", "distance")
+    pairs = pairs.where((F.col("distance") > 0) & (F.col("distance") <= most) & ~twin)
+    named = often.select(F.col("word").alias("candidate"), F.col("n").alias("candidate_n"))
+    return pairs.join(rare.select("word", "n"), "word").join(named, "candidate").select("word", "n", "candidate", "candidate_n", "distance")
+
+
+def shortened(word: Column, twice: Column) -> Column:
+    """The word and what is left of it without any one letter, and without any two where asked for."""
+
+    def without_one(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+
+    def both(one: Column) -> Column:
+        return F.array_distinct(F.concat(F.array(word), one, F.when(twice, F.flatten(F.transform(one, without_one))).otherwise(F.array().cast("array<string>"))))
+
+    return X.let(without_one(word), both)
 
 
 def corrections(texts: DataFrame, rules: SpellRules = SpellRules(), protect: Iterable[str] = (), dictionary: DataFrame | None = None, text: str = "text_clean") -> DataFrame:
