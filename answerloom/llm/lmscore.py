@@ -199,7 +199,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 #: Ids of target documents, up to which they are broadcast (8 bytes each and what a hash table adds).
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def mark_targets(docs: DataFrame, good: DataFrame) -> DataFrame:
