@@ -96,9 +96,13 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
 def mean_ratio(token: Column, table: list[float]) -> Column:
     """The mean log-likelihood ratio of a token's transitions."""
     numbers = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
+
+    def total(c: Column) -> Column:
+        """Over the characters' numbers, computed once for the token."""
+        return F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), F.lit(0.0), lambda acc, i: acc + F.get(numbers, F.get(c, i) * 128 + F.get(c, i + 1)))
+
     chars = F.transform(F.split(token, ""), F.ascii)
-    total = F.aggregate(F.sequence(F.lit(0), F.length(token) - 2), F.lit(0.0), lambda acc, i: acc + F.get(numbers, F.get(chars, i) * 128 + F.get(chars, i + 1)))
-    return F.when(F.length(token) > 1, total / (F.length(token) - 1)).otherwise(F.lit(0.0))
+    return F.when(F.length(token) > 1, F.get(F.transform(F.array(chars), total), 0) / (F.length(token) - 1)).otherwise(F.lit(0.0))
 
 
 def find_secrets(docs: DataFrame, table: list[float] | None = None, least_ratio: float = LEAST_RATIO) -> DataFrame:
