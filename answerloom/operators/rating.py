@@ -100,7 +100,7 @@ def theme_rating(code: Column, p_pos: Column, p_neg: Column, flags: dict[str, Co
                 real |= F.coalesce(flags["firm_neg"], F.lit(False))
             if praise:
                 real |= F.coalesce(flags["complaint"], F.lit(False)) & out.isNotNull()
-            out = F.when(F.coalesce(real, F.lit(False)), against).when(out.isNotNull(), p)
+            out = F.when(out.isNotNull(), F.when(F.coalesce(real, F.lit(False)), against).otherwise(p))
         if polarity.themes_opposite_min_conf is not None:
             weak = (p_neg if praise else p_pos) < polarity.themes_opposite_min_conf
             out = F.when((out == against) & F.coalesce(weak, F.lit(False)), p).otherwise(out)

@@ -16,6 +16,7 @@ from ..operators.ingest import guess_header_row
 NULL_VALUE = ""
 DELIMITERS = (",", ";", "\t", "|")
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
+BOM = chr(0xFEFF)
 #: Bytes of a file that are looked at to guess its encoding and delimiter.
 PROBE = 1 << 20
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -47,25 +48,37 @@ def guess_delimiter(line: str) -> str:
     return max(DELIMITERS, key=line.count) if any(map(line.count, DELIMITERS)) else ","
 
 
+def _windows(df: DataFrame, encoding: str) -> DataFrame:
+    """Spark does not read Windows-1252; it is ISO-8859-1 but for the 32 places from 0x80."""
+    if encoding != "cp1252":
+        return df
+    places = [bytes([b]) for b in range(0x80, 0xA0)]
+    pairs = [(p.decode("latin-1"), p.decode("cp1252", "ignore")) for p in places if p.decode("cp1252", "ignore")]
+    old, new = ("".join(x) for x in zip(*pairs))
+    return df.select([F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(str.maketrans(old, new))) for c in df.columns])
+
+
 def read_delimited(spark: SparkSession, path: str, header_row: int = 0, multi_line: bool = True) -> DataFrame:
     """A delimited file; encoding and delimiter are guessed from its start."""
     data = head_bytes(spark, path)
     encoding = guess_encoding(data)
-    lines = data.decode(encoding, "ignore").removeprefix("﻿").splitlines()
+    lines = data.decode(encoding, "ignore").removeprefix(BOM).splitlines()
     line = lines[header_row] if len(lines) > header_row else ""
-    reader = spark.read.option("sep", guess_delimiter(line)).option("encoding", {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]).option("nullValue", NULL_VALUE).option("emptyValue", NULL_VALUE).option("quote", '"').option("escape", '"')
+    charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
+    reader = spark.read.option("sep", guess_delimiter(line)).option("encoding", charset).option("nullValue", NULL_VALUE).option("emptyValue", NULL_VALUE).option("quote", '"').option("escape", '"')
     if header_row:
         # the rows above the header go; the file is read as lines and parsed by the schema of its header
         import csv
 
         names = next(csv.reader([line], delimiter=guess_delimiter(line)))
-        schema = StructType([StructField(n.removeprefix("﻿"), StringType()) for n in names])
-        raw = spark.read.option("encoding", encoding).text(path).withColumn("_at", F.monotonically_increasing_id())
-        first = [r["_at"] for r in raw.orderBy("_at").limit(header_row + 1).collect()]
-        rows = raw.where(~F.col("_at").isin(first)).select("value").rdd.map(lambda r: r[0])
-        return reader.schema(schema).csv(rows)
+        schema = StructType([StructField(n.removeprefix(BOM), StringType()) for n in names])
+        # the text reader knows UTF-8 only, so such a file is decoded as it is read, whole
+        body = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", charset), "\r?\n")).alias("at", "value"))
+        rows = body.where((F.col("at") > header_row) & (F.col("value") != "")).orderBy("at")
+        parsed = rows.select(F.from_csv("value", ", ".join(f"`{f.name}` STRING" for f in schema), {"sep": guess_delimiter(line), "nullValue": NULL_VALUE, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+        return _windows(parsed, encoding)
     df = reader.option("header", "true").option("multiLine", multi_line).csv(path)
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    return _windows(df.toDF(*[c.removeprefix(BOM) for c in df.columns]), encoding)
 
 
 # -- Excel ----------------------------------------------------------------
