@@ -319,3 +319,29 @@ def group_words_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _centres(label_themes(labelled(spark, sf_dir)))
     labels = clustering.cut(c, 3, "average")
     return spark.createDataFrame([(j, int(g)) for j, g in enumerate(labels)], "theme_idx int, group_no int")
+
+
+@query(f"""
+WITH {_FB}, a AS (SELECT vec_id // 3 AS answer, theme_idx FROM sem UNION ALL SELECT vec_id // 3, theme_idx FROM fb),
+k AS (SELECT * FROM a WHERE theme_idx <> 9 OR answer NOT IN (SELECT answer FROM a WHERE theme_idx <> 9))
+SELECT c.theme_idx, 'label ' || c.theme_idx AS theme, CAST(count(DISTINCT k.answer) AS BIGINT) AS answers FROM c LEFT JOIN k USING (theme_idx) GROUP BY c.theme_idx""")
+def themes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = labelled(spark, sf_dir)
+    out, _ = assign.assign_themes(e, label_themes(e), RULES, with_keywords=False)
+    keyed = out.withColumn("text_key", F.floor(F.col("vec_id") / 3).cast("string"))
+    return discover.themes_table(keyed, label_themes(e, general=9)).select("theme_idx", "theme", "answers")
+
+
+@query(f"""
+WITH {CENTRES}, p AS (SELECT theme_idx, abs(list_inner_product(centre, (SELECT centre FROM c WHERE theme_idx = 0))) AS p FROM c),
+z AS (SELECT theme_idx, (p - avg(p) OVER ()) / (stddev_pop(p) OVER () + 1e-12) AS z FROM p) SELECT 'label ' || theme_idx AS word FROM z WHERE z > 1.0""")
+def opinion_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    themes = label_themes(labelled(spark, sf_dir))
+    found = discover.opinion_words([t.name for t in themes], _centres(themes), themes[0].centre, 1.0)
+    return spark.createDataFrame([(w,) for w in sorted(found) if not w.endswith("s")], "word string")
+
+
+@query()
+def dense_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = labelled(spark, sf_dir).drop("label").withColumnRenamed("vec_id", "clause_id")
+    return discover.dense_groups(e, DISCOVER, 2, 6).groupBy("cluster").agg(F.count("*").alias("size"))

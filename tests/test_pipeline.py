@@ -79,6 +79,41 @@ def test_fewer_groups_and_more(spark):
     assert discover.fingerprint(groups.withColumn("clause_key", F.col("clause_id").cast("string")), rules, backends.HashEmbedder()) == discover.fingerprint(groups.repartition(7).withColumn("clause_key", F.col("clause_id").cast("string")), rules, backends.HashEmbedder())
 
 
+def test_dense_groups_and_topic_words(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, "price thing" if k % 3 else "smell thing", (np.eye(3)[k % 3] + 0.05 * rng.normal(size=3)).tolist()) for k in range(90)]
+    df = spark.createDataFrame(rows, "clause_id long, clause string, vec array<double>")
+    found = discover.dense_groups(df, discover.DiscoverRules(), 2, 5).groupBy("cluster").agg(F.countDistinct(F.col("clause_id") % 3).alias("kinds"), F.count("*").alias("n")).collect()
+    assert sorted((r.kinds, r.n) for r in found) == [(1, 30)] * 3
+    moved = discover.with_topic_words(df, backends.HashEmbedder(3), discover.DiscoverRules())
+    assert moved.columns == ["clause_id", "clause", "vec"] and all(abs(np.linalg.norm(r.vec) - 1) < 1e-6 for r in moved.collect())
+
+
+def test_words_of_judgement():
+    words = [f"w{k}" for k in range(10)] + ["nice"]
+    v = np.array([[1.0, 0.01 * k] for k in range(10)] + [[0.1, 1.0]])
+    assert discover.opinion_words(words, v, np.array([0.0, 1.0])) == {"nice", "nices"}
+    assert discover.opinion_words(words[:3], v[:3], np.array([0.0, 1.0])) == set()
+    assert "product" in discover.noise_words("hybrid", {"nice"}) and discover.noise_words("data", {"nice"}) == {"nice"}
+
+
+def test_sharpened():
+    from answerloom.operators.assign import Theme
+
+    t = [Theme("a", np.array([1.0, 0.0]))]
+    assert discover.sharpened(t, {"a": np.array([0.0, 1.0])})[0].centre == pytest.approx([0.5**0.5, 0.5**0.5])
+    with pytest.raises(ValueError):
+        discover.sharpened(t, {"b": np.array([0.0, 1.0])})
+
+
+def test_form_settings():
+    from answerloom.plans.curation import build_settings, name_taken
+
+    s = build_settings(8, [{"name": "Price"}], {"name": "General", "general": True}, {"q1": "praise", "q2": "auto", "q3": "off"})
+    assert s["themes"]["n_total"] == 10 and set(s["output"]["question_polarity"]) == {"q1", "q3"}
+    assert name_taken(" price", ["Price"]) and not name_taken("cost", ["Price"])
+
+
 def test_too_few_clauses(spark):
     df = spark.createDataFrame([(1, "k", "one two", [1.0, 0.0])], "clause_id long, clause_key string, clause string, vec array<double>")
     with pytest.raises(ValueError):
