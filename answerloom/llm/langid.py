@@ -126,16 +126,19 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n_doc
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     code = {name: k for k, name in enumerate(languages)}
-    rows = [(at, f * idf[at] * SCALE, code[name]) for name, at, f in samples]
-    back = rows[::5] if len(rows) >= 50 else []
-    train = [r for k, r in enumerate(rows) if k % 5 or not back]
+    back = samples[::5] if len(samples) >= 50 else []
+    train = [s for k, s in enumerate(samples) if k % 5 or not back]
     model = Ftrl(BUCKETS, len(languages))
+
+    def values(at: np.ndarray, f: np.ndarray) -> np.ndarray:
+        return f * idf[at] * SCALE
+
     for _ in range(EPOCHS):
-        for at, x, y in train:
-            model.step(at, x, y)
+        for name, at, f in train:
+            model.step(at, values(at, f), code[name])
     w, b = model.weights()
-    logits = np.array([x @ w[at] + b for at, x, _ in back])
-    return Model(languages, (w * idf[:, None]).astype(np.float32), b, best_temperature(logits, np.array([y for *_, y in back], int)))
+    logits = np.array([values(at, f) @ w[at] + b for _, at, f in back])
+    return Model(languages, (w * idf[:, None]).astype(np.float32), b, best_temperature(logits, np.array([code[name] for name, *_ in back], int)))
 
 
 def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
@@ -179,7 +182,7 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
     for _, r in sorted(distinct.items()):
         if taken[r.lang] < each:
             taken[r.lang] += 1
-            rows.append((r.lang, np.frombuffer(bytes(r.at), "<i4").astype(np.int64), np.frombuffer(bytes(r.f), "<f4").astype(float)))
+            rows.append((r.lang, np.frombuffer(bytes(r.at), "<i4"), np.frombuffer(bytes(r.f), "<f4")))
     return fit(rows, df, sum(counts.values()))
 
 

@@ -274,6 +274,6 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        for a, b in groups(texts, 3_000_000):
-            yield ids[a:b], texts[a:b]
+        for a, b in groups(batch.column(1), 3_000_000):
+            part = batch.slice(a, b - a)
+            yield part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()

@@ -82,9 +82,8 @@ def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat
 
         with atomic_output(path) as f, pa.ipc.new_stream(f, SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for batch in every():
-                texts = batch.column("text").to_pylist()
-                for a, b in groups(texts):
-                    ids, n = with_end(*enc.encode(texts[a:b]), end_id)
+                for a, b in groups(batch.column("text")):
+                    ids, n = with_end(*enc.encode(batch.column("text").slice(a, b - a).to_pylist()), end_id)
                     counts += np.bincount(ids, minlength=size) if stat == "tokens" else document_counts(ids, n, size)
                     small = ids.astype(dtype)
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * small.itemsize

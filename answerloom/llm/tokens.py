@@ -14,8 +14,11 @@ import itertools
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = re.compile("[%s]" % "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x180E, 0x200B, 0xFEFF))))
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -170,11 +173,10 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def groups(texts: list[str | None], most: int = 1_500_000):
-    """(from, to) of runs of texts of about so many characters in all; a longer text stands alone."""
+def groups(texts: pa.Array, most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about so many bytes in all; a longer text stands alone."""
     a, size = 0, 0
-    for k, t in enumerate(texts):
-        n = len(t or "")
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if k > a and size + n > most:
             yield a, k
             a, size = k, 0
