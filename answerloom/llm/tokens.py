@@ -39,6 +39,11 @@ class _Index(dict):
         return n
 
 
+def _roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` entries and a quarter more, where it has less."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(n + n // 4 - len(x), x.dtype)])
+
+
 class CachedEncoder:
     """``encode(texts)`` gives all ids one after another and the number of ids of each text.
 
@@ -47,7 +52,7 @@ class CachedEncoder:
     of a text run turn out to be unknown then, what is kept no longer fits and all is forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,10 +79,10 @@ class CachedEncoder:
 
     def _reset(self):
         self.index = _Index()
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.flat = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.count = np.zeros(1 << 16, np.int32)
         self.known = 0
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
@@ -121,11 +126,8 @@ class CachedEncoder:
         if not new:
             return
         flat, start, count = self._joined(new)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        while self.known + len(new) > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
-            self.count = np.concatenate([self.count, np.zeros(len(self.count), np.int64)])
+        self.flat = _roomy(self.flat, self.used + len(flat))
+        self.start, self.count = (_roomy(x, self.known + len(new)) for x in (self.start, self.count))
         self.flat[self.used : self.used + len(flat)] = flat
         at = slice(self.known, self.known + len(new))
         self.start[at], self.count[at] = self.used + start, count
@@ -145,14 +147,14 @@ class CachedEncoder:
         which = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(n.sum()))
         new = self.index.new
         self._learn()
-        count = self.count[which]
+        count = self.count[which].astype(np.int64)
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(self.start[which] - (ends - count), count)
         at += np.arange(total)
         edges = np.concatenate([[0], np.cumsum(n)])
         sums = np.concatenate([[0], ends])
-        ids = self.flat[at]
+        ids = self.flat[at].astype(np.uint32)
         if self.known > self.keep:
             if 2 * len(new) > len(which):
                 self._reset()
