@@ -29,7 +29,9 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="answerloom-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
-    return root if "://" in root or root.startswith("file:") else "file://" + root
+    # with the scheme of the cluster's default store, where the setting names none
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -65,6 +67,8 @@ class atomic_output:
     def __exit__(self, kind, value, trace):
         self.file.close()
         if kind is None:
+            if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+                self.fs.delete_file(self.path)  # of an earlier attempt; some stores do not rename onto a file
             self.fs.move(self.tmp, self.path)
         else:
             self.fs.delete_file(self.tmp)
