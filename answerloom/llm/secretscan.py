@@ -34,6 +34,8 @@ SMOOTHING = 0.5
 #: Bound of the random half of the labelled samples that are generated where none are given.
 RANDOM_SAMPLES = 4000
 MARK = "[SECRET]"
+#: Columns that are added and dropped again.
+_HELD, _SPANS = "__answerloom_held", "__answerloom_spans"
 
 
 def labelled_samples(spark: SparkSession) -> DataFrame:
@@ -105,8 +107,8 @@ def mean_ratio(token: Column, table: list[float]) -> Column:
     return F.when(F.length(token) > 1, F.get(F.transform(F.array(chars), total), 0) / (F.length(token) - 1)).otherwise(F.lit(0.0))
 
 
-def find_secrets(docs: DataFrame, table: list[float] | None = None, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """``docs`` with the column ``secret_spans`` (array of start, kind, end; kinds as in ``KINDS``), sorted.
+def find_secrets(docs: DataFrame, table: list[float] | None = None, least_ratio: float = LEAST_RATIO, name: str = "secret_spans") -> DataFrame:
+    """``docs`` with the column ``name`` (array of start, kind, end; kinds as in ``KINDS``), sorted; it replaces one of that name.
 
     Null and empty texts have no spans. A random token that touches a span of
     another kind is not reported again. Other columns stay as they are.
@@ -119,9 +121,10 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, least_ratio:
         _spans(text, HEX, 2),
     )
     tokens = _spans(text, TOKEN, 3, lambda m: mean_ratio(m, table) >= least_ratio)
-    out = docs.withColumn("_base", base).withColumn("_tokens", tokens)
-    free = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("secret_spans", F.array_sort(F.concat("_base", free))).drop("_base", "_tokens")
+    held = docs.withColumn(_HELD, F.struct(base.alias("base"), tokens.alias("tokens")))
+    found, others = F.col(_HELD)["base"], F.col(_HELD)["tokens"]
+    free = F.filter(others, lambda t: ~F.exists(found, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return held.withColumn(name, F.array_sort(F.concat(found, free))).drop(_HELD)
 
 
 def _joined(spans: Column) -> Column:
@@ -143,7 +146,7 @@ def secret_report(docs: DataFrame, table: list[float] | None = None) -> DataFram
 
 def redact(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """The documents with every secret replaced by ``MARK``; n_chars, if there, counts the new text. Null texts stay null."""
-    found = find_secrets(docs, table)
+    found = find_secrets(docs, table, name=_SPANS)
     text = F.col("text").cast("string")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -152,6 +155,6 @@ def redact(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    new = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, new).otherwise(text)).drop("secret_spans")
+    new = F.aggregate(_SPANS, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.withColumn("text", F.when(F.size(_SPANS) > 0, new).otherwise(text)).drop(_SPANS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -260,4 +260,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     again = docs.join(several, docs["doc_id"].eqNullSafe(several["doc_id"]), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return out.unionByName(again.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    return out.unionByName(again.withColumn("__answerloom_rank", rank).where("__answerloom_rank = 1").drop("__answerloom_rank"))

@@ -74,7 +74,8 @@ def test_no_python_in_the_plan(spark, table):
 
 
 def test_redaction(spark, table):
-    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(TEXTS)], "doc_id long, text string, secret_spans string, _base string, n_chars long")
+    assert {tuple(r) for r in S.redact(docs, table).select("secret_spans", "_base").collect()} == {("en", "s")}
     got = {r.doc_id: r for r in S.redact(docs, table).collect()}
     assert S.redact(docs, table).columns == docs.columns
     for k, t in enumerate(TEXTS):
