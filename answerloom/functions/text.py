@@ -65,8 +65,8 @@ def text_key(cleaned: Column | str, valid: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    t = F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
-    return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, " ")))
+    """Runs of what is no white space."""
+    return F.regexp_count(col(c), F.lit(r"(?U)\S+"))
 
 
 def tokens(c: Column | str, pattern: str = TOKEN) -> Column:
