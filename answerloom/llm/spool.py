@@ -54,12 +54,13 @@ def document_counts(ids: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat: str, ordered: bool) -> Spool:
+def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat: str, ordered: bool, keep: int = 600_000) -> Spool:
     """Encodes ``docs`` (doc_id, text) and writes one file for each task that has rows.
 
     stat: "tokens" counts how often each id occurs, "docs" in how many documents.
     ordered: files follow each other by ascending doc_id (nulls first), and so do
     the documents within; equal ids are ordered by a hash of the text.
+    keep: chunks of text that a worker's encoder remembers.
     The driver keeps a row for each file and one array of the vocabulary's size.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -68,7 +69,7 @@ def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat
         docs = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
+        part, enc = TaskContext.get().partitionId(), encoder(tokenizer, keep)
         dtype = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
         size = max(enc.size, end_id + 1)
         first = next(batches, None)

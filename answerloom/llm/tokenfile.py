@@ -25,6 +25,8 @@ BLOCK = 1024
 LIMIT = 18
 MAGIC = b"ALHF0001"
 _WIDE = 4096
+#: Chunks of text that a worker's encoder remembers: more than elsewhere, as this operator is the closest to its limit of time.
+KEEP = 800_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -209,7 +211,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder:
     """Encodes ``docs`` (doc_id, text) into a folder of token files; (folder, [(file, documents, ids)]) in doc_id order."""
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "tokens")
-    spool = spool_tokens(docs, folder, tokenizer, end_id, "tokens", ordered=True)
+    spool = spool_tokens(docs, folder, tokenizer, end_id, "tokens", ordered=True, keep=KEEP)
     write_codebook(f"{folder}/codebook", spool.stat)
 
     def pack(entry):

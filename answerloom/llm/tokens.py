@@ -52,7 +52,7 @@ class CachedEncoder:
     of a text run turn out to be unknown then, what is kept no longer fits and all is forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -165,14 +165,14 @@ class CachedEncoder:
         return ids, sums[edges[1:]] - sums[edges[:-1]]
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
+_ENCODERS: dict[tuple[str, int], CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
-    """One encoder for each path and worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, keep: int = 600_000) -> CachedEncoder:
+    """One encoder for each path and bound in a worker."""
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = CachedEncoder(path, keep)
+    return _ENCODERS[path, keep]
 
 
 def groups(texts: pa.Array, most: int = 1_500_000) -> Iterator[tuple[int, int]]:
