@@ -90,6 +90,27 @@ def test_losses_are_those_of_plain_counts(spark):
                 assert got[k][i] == pytest.approx(-math.log(p), rel=1e-4)
 
 
+def test_no_ngrams_share_a_count(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300_000)]  # more than 2 ** 18 words, and as many pairs
+    rows = [(k, " ".join(words[k * 1000 : (k + 1) * 1000])) for k in range(300)] + [(None, None), (1000, "w0 w1 w0 w1"), (1001, "w5 w3"), (1001, "w5 w3")]
+    labels = spark.createDataFrame([(1000, 1, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(lmscore, "CHUNK", 1 << 18)
+    monkeypatch.setattr(lmscore, "PART", 1 << 18)
+    got = collections.defaultdict(list)
+    for r in lmscore.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect():
+        got[r.doc_id].append(r)
+    assert collections.Counter(k for k, _ in rows) == {k: len(v) for k, v in got.items()}
+    n, v, add, weight = 300_008, 300_000, lmscore.ADDED, lmscore.PAIR_WEIGHT
+    alone = (1 + add) / (n + add * v)
+    # every word of document 7 occurs once, always after the same word
+    want = (-math.log(alone) - 999 * math.log(weight + (1 - weight) * alone)) / 1000
+    assert got[7][0].n_tokens == 1000 and got[7][0].background_loss == pytest.approx(want, rel=1e-12)
+    assert got[7][0].target_loss == pytest.approx(-math.log(add / (4 + add * v)), rel=1e-12)
+    p = [(3 + add) / (n + add * v)] * 2
+    want = (-math.log(p[0]) - math.log(weight * 2 / 3 + (1 - weight) * p[1])) / 2
+    assert [r.background_loss for r in got[1001]] == pytest.approx([want] * 2, rel=1e-12)
+
+
 def test_target_like_documents_score_lower(docs, spark):
     labels = spark.createDataFrame([(k, 1 if k % 2 else 0, 0) for k in range(1, 60)] + [(61, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = lmscore.cross_entropy_difference(docs, labels).collect()
