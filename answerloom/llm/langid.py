@@ -4,8 +4,8 @@ Features are the n-grams of one to three code points of the lower-cased text,
 hashed into ``BUCKETS``. A feature's value is its relative frequency in the
 text times its inverse document frequency, which counts every training
 document. The weights are fitted by follow-the-regularised-leader with
-elastic-net penalties, which keeps them sparse, on at most ``SAMPLE`` labelled
-documents (spread evenly over the languages); a fifth of these are kept back to
+elastic-net penalties, which keeps them sparse, on at most ``SAMPLE`` distinct
+labelled texts (of each language as many, or all it has); a fifth of these are kept back to
 find the temperature by which the scores are calibrated.
 """
 
@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3)
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 4000
 MOST_LANGUAGES = 1000
+#: A distinct text's rank, by which samples are picked, is a hash below this.
+RANKS = 1 << 62
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.001
 SCALE = 30.0
@@ -145,49 +147,57 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
     """Fits on ``docs`` (text, lang); rows without a text or language are left out."""
     spark = docs.sparkSession
     docs = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+    docs = docs.withColumn("rank", F.pmod(F.xxhash64("text", "lang"), F.lit(RANKS)))
+    found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.col("text") != "", F.col("rank"))).alias("texts")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    if not found:
         return fit([], np.zeros(BUCKETS), 0)
-    each = max(1, sample // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.3 * each / n))])
-    rank = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30))
-    docs = docs.withColumn("rank", rank).withColumn("picked", rank < share[F.col("lang")] * (1 << 30))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, some, seen = np.zeros(BUCKETS, np.int64), False, set()
+    each = max(1, sample // len(found))
+    # well over ``each`` texts of a language lie below the first bound, whatever the estimate's error; the second is exact
+    first = {r.lang: min(RANKS, int((1.5 * each + 50) / max(1, r.texts) * RANKS)) for r in found}
+    ranks: dict[str, list[int]] = {}
+    for r in _below(docs, first).select("lang", "rank").distinct().collect():
+        ranks.setdefault(r.lang, []).append(r["rank"])
+    exact = {lang: sorted(own)[:each][-1] + 1 for lang, own in ranks.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, some = np.zeros(BUCKETS, np.int64), False
         for batch in batches:
             some |= batch.num_rows > 0
+            for text in batch.column("text"):
+                df[np.flatnonzero(np.bincount(ngram_buckets(text.as_py()), minlength=BUCKETS))] += 1
+        if some:
+            path = f"{folder}/df-{TaskContext.get().partitionId():07d}"
+            save_counts(path, df)
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for text, lang, rank, picked in zip(batch.column("text"), batch.column("lang").to_pylist(), batch.column("rank").to_pylist(), batch.column("picked").to_pylist()):
+            for lang, rank, text in zip(batch.column("lang").to_pylist(), batch.column("rank").to_pylist(), batch.column("text")):
                 h = ngram_buckets(text.as_py())
                 n = np.bincount(h, minlength=BUCKETS)
                 at = np.flatnonzero(n)
-                df[at] += 1
-                if picked and len(h) and (lang, rank) not in seen:  # copies of a text are one sample
-                    seen.add((lang, rank))
-                    rows.append((lang, rank, at.astype("<i4").tobytes(), (n[at] / len(h)).astype("<f4").tobytes(), None))
+                rows.append((lang, rank, at.astype("<i4").tobytes(), (n[at] / len(h)).astype("<f4").tobytes()))
             if rows:
                 yield _sample_batch(rows)
-        if some:
-            path = f"{folder}/df-{TaskContext.get().partitionId():07d}"
-            save_counts(path, df)
-            yield _sample_batch([(None, None, None, None, path)])
 
-    found = docs.mapInArrow(run, "lang string, rank long, at binary, f binary, path string").collect()
-    df = sum_counts(spark, sorted(r.path for r in found if r.path), folder)
-    rows, taken = [], dict.fromkeys(counts, 0)
-    distinct = {(r["rank"], r.lang): r for r in found if not r.path}
-    for _, r in sorted(distinct.items()):
-        if taken[r.lang] < each:
-            taken[r.lang] += 1
-            rows.append((r.lang, np.frombuffer(bytes(r.at), "<i4"), np.frombuffer(bytes(r.f), "<f4")))
-    return fit(rows, df, sum(counts.values()))
+    df = sum_counts(spark, sorted(r.path for r in docs.select("text").mapInArrow(count, "path string").collect()), folder)
+    # copies of a text are one sample
+    samples = _below(docs, exact).select("lang", "rank", "text").distinct().mapInArrow(frequencies, "lang string, rank long, at binary, f binary").collect() if exact else []
+    rows = [(r.lang, np.frombuffer(bytes(r.at), "<i4"), np.frombuffer(bytes(r.f), "<f4")) for r in sorted(samples, key=lambda r: (r["rank"], r.lang))]
+    return fit(rows, df, sum(r.n for r in found))
+
+
+def _below(docs: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    """The rows with a text whose rank is below their language's bound."""
+    bound = F.create_map(*[F.lit(x).cast(t) for lang, b in sorted(bounds.items()) for x, t in ((lang, "string"), (b, "long"))])
+    return docs.where((F.col("text") != "") & (F.col("rank") < bound[F.col("lang")]))
 
 
 def _sample_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"lang": pa.string(), "rank": pa.int64(), "at": pa.binary(), "f": pa.binary(), "path": pa.string()}
+    kinds = {"lang": pa.string(), "rank": pa.int64(), "at": pa.binary(), "f": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
 

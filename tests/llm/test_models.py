@@ -50,6 +50,14 @@ def test_language_id_without_labels(docs):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_copies_do_not_crowd_out_samples(spark, monkeypatch):
+    rows = [(f"{text}{k if k < 150 else ''}", lang) for lang, text in (("en", EN), ("fr", FR)) for k in range(4000)] + [("una sola", "es")] * 2 + [("", "es")]
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda samples, df, n: seen.append(([s[0] for s in samples], df.max(), n)))
+    langid.train(spark.createDataFrame(rows, "text string, lang string"), langid.work_dir(spark, "langid"), 300)
+    assert collections.Counter(seen[0][0]) == {"en": 100, "fr": 100, "es": 1} and seen[0][1:] == (8002, 8003)
+
+
 def test_ftrl_is_sparse_and_calibrated():
     rng = np.random.default_rng(0)
     ftrl = langid.Ftrl(50, 2, l1=0.5)
