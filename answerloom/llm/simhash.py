@@ -52,14 +52,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): the fingerprint as a signed long, and XXH64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -222,42 +223,56 @@ def _links(a: np.ndarray, b: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *more], names=["a", "b", "choice", "bits", "chunk", "chunks"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links of at most 3 bits reach.
-
-    A null text has the fingerprint 0, like one without words, and is linked like
-    any other; rows with equal ids stay apart; null ids never name a component
-    (it is null where all ids are). No documents give no rows.
-    """
+def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp, text_hash), and of each fingerprint (fp) its component's root fingerprint and smallest doc_id (root, component_id)."""
     spark = docs.sparkSession
     folder = work_dir(spark, "simhash")
     fingerprints(docs).write.parquet(f"{folder}/fingerprints")
-    rows = spark.read.schema("doc_id long, fp long").parquet(f"{folder}/fingerprints")
+    rows = spark.read.schema("doc_id long, fp long, text_hash long").parquet(f"{folder}/fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = connected_components(near_links(classes.select("fp"), folder), folder)
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
-    named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    named = classes.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    component = F.when(F.col("component_id").isNull(), F.col("least_id")).otherwise(F.col("component_id"))
+    named = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
     # a table of its own, so that the join with a fingerprint that very many documents share can be split
     named.write.parquet(f"{folder}/named")
-    named = spark.read.schema(named.schema).parquet(f"{folder}/named")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, spark.read.schema(named.schema).parquet(f"{folder}/named")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links of at most 3 bits reach.
+
+    A null text has the fingerprint 0, like one without words, and is linked like
+    any other; rows with equal ids stay apart; null ids never name a component
+    (it is null where all ids are). No documents give no rows.
+    """
+    rows, named = components(docs)
+    return rows.select("doc_id", "fp").join(named.select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component: that with the smallest doc_id (of rows with that id, one with the smallest text)."""
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = kept.unionByName(found.where("component_id is null").groupBy("doc_id").agg(F.count("*").alias("n")))
+    """The documents, one row of each component: that with the smallest doc_id (nulls last), of these one with the least hash of its text.
+
+    A row is known by its id and text together, as neither names it alone; of
+    rows alike in both the least in its other columns stays.
+    """
+    rows, named = components(docs)
+    alike = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("least")
+    kept = alike.groupBy("fp").agg(least).join(named, "fp").groupBy("root").agg(F.min("least").alias("least"))
     folder = work_dir(docs.sparkSession, "simhash-kept")
-    kept.write.parquet(f"{folder}/kept")
-    kept = docs.sparkSession.read.schema("doc_id long, n long").parquet(f"{folder}/kept")
-    single, several = kept.where("n = 1").select("doc_id"), kept.where("n > 1").select("doc_id")
-    out = docs.join(single.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(single["doc_id"]), "left_semi")
+    kept.select("least.doc_id", "least.text_hash", "least.n").write.parquet(f"{folder}/kept")
+    kept = docs.sparkSession.read.schema("doc_id long, text_hash long, n long").parquet(f"{folder}/kept")
+    single, several = kept.where("n = 1").drop("n"), kept.where("n > 1").drop("n")
+    text_hash = F.xxhash64(docs["text"].cast("string"))
+
+    def same(own: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(own["doc_id"]) & (text_hash == own["text_hash"])
+
+    out = docs.join(single.hint("shuffle_hash"), same(single), "left_semi")
     if several.isEmpty():
         return out
-    from pyspark.sql import Window
-
-    again = docs.join(several, docs["doc_id"].eqNullSafe(several["doc_id"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return out.unionByName(again.withColumn("__answerloom_rank", rank).where("__answerloom_rank = 1").drop("__answerloom_rank"))
+    again = docs.join(several, same(several), "left_semi")
+    row = F.min(F.struct(*[docs[c] for c in docs.columns])).alias("__answerloom_row")
+    return out.unionByName(again.groupBy(docs["doc_id"].alias("__answerloom_id"), text_hash.alias("__answerloom_hash")).agg(row).select("__answerloom_row.*"))

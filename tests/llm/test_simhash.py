@@ -73,6 +73,17 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    texts = [" ".join(words(k)) for k in range(200, 212)]
+    rows = [(None, t, "a") for t in texts[:5]]  # null ids, unlike texts
+    rows += [(None, texts[0], "b"), (None, texts[5], "a"), (3, texts[5], "a")]  # copies, one of a numbered document
+    rows += [(7, texts[6], "a"), (7, texts[7], "a"), (8, texts[8], "b"), (8, texts[8], "a"), (9, texts[8], "a")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = [(None, t, "a") for t in texts[:5]] + [(3, texts[5], "a"), (7, texts[6], "a"), (7, texts[7], "a"), (8, texts[8], "a")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    assert simhash.keep_one_of_each(kept.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("n", "radius"), [(1, 3), (2, 3), (300, 3), (300, 2), (150, 5), (500, 1)])
 def test_bit_sliced_pairs(n, radius):
     rng = np.random.default_rng(n + radius)
