@@ -42,16 +42,12 @@ def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, n
     return out, n
 
 
-def document_counts(ids: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    """In how many of these documents each id occurs."""
-    total, at = np.zeros(size, np.int64), 0
-    for k in range(0, len(n), 255):  # so many fit a byte's sums
-        m = n[k : k + 255]
-        seen = np.zeros(len(m) * size, np.uint8)
-        seen[np.repeat(np.arange(len(m)) * size, m) + ids[at : at + int(m.sum())]] = 1
-        total += seen.reshape(len(m), size).sum(0, dtype=np.uint8)
-        at += int(m.sum())
-    return total
+def add_document_counts(counts: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+    """Adds one to the count of every id for each of these documents that has it."""
+    at = 0
+    for m in n.tolist():
+        counts[ids[at : at + m]] += 1  # an id that occurs twice in the index is still increased once
+        at += m
 
 
 def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat: str, ordered: bool, keep: int = 600_000) -> Spool:
@@ -83,9 +79,12 @@ def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat
 
         with atomic_output(path) as f, pa.ipc.new_stream(f, SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for batch in every():
-                for a, b in groups(batch.column("text")):
-                    ids, n = with_end(*enc.encode(batch.column("text").slice(a, b - a).to_pylist()), end_id)
-                    counts += np.bincount(ids, minlength=size) if stat == "tokens" else document_counts(ids, n, size)
+                for a, b in groups(batch.column("text"), 3_000_000):
+                    ids, n = with_end(*enc.encode(batch.column("text").slice(a, b - a)), end_id)
+                    if stat == "tokens":
+                        counts += np.bincount(ids, minlength=size)
+                    else:
+                        add_document_counts(counts, ids, n)
                     small = ids.astype(dtype)
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * small.itemsize
                     column = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(small)])
