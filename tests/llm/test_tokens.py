@@ -115,24 +115,59 @@ def test_token_files_of_nothing(spark):
     assert files == [] and tokenfile.read_token_files(spark, folder, files).count() == 0
 
 
-def test_bm25_scores_are_the_formula():
+def brute_bm25(docs, whole, idf, mean, seed):
+    """Term by term, document by document."""
+    out = []
+    for d in whole:
+        score = 0.0
+        for t in set(whole[seed].tolist()):
+            tf = int((d == t).sum())
+            if tf:
+                score += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 2.0])
+def test_bm25_scores_are_the_formula(share, monkeypatch):
+    monkeypatch.setattr(packing, "DENSE_SHARE", share)
     rng = np.random.default_rng(1)
-    docs = [rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint32) for _ in range(12)]
-    df = np.array([sum(t in d for d in docs) for t in range(30)])
+    whole = [rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint32) for _ in range(12)]
+    # of some documents only the end is packed, but all of it counts
+    docs = [d[len(d) // 2 :] if k % 3 == 0 and len(d) > 1 else d for k, d in enumerate(whole)]
+    known = {k: np.unique(whole[k], return_counts=True) for k in range(12) if len(docs[k]) < len(whole[k])}
+    df = np.array([sum(t in d for d in whole) for t in range(30)])
     idf = np.log1p((12 - df + 0.5) / (df + 0.5))
-    index = packing.Bm25Shard(docs, idf, 25.0)
-    got = index.scores(0)
-    terms = sorted(set(docs[0].tolist()), key=lambda t: -idf[t])
-    least = idf[terms[packing.QUERY_TERMS - 1]] if len(terms) > packing.QUERY_TERMS else -1
-    if sum(idf[t] >= least for t in terms) == min(len(terms), packing.QUERY_TERMS):
-        chosen = [t for t in terms if idf[t] >= least]
-        for k, d in enumerate(docs):
-            want = 0.0
-            for t in chosen:
-                tf = int((d == t).sum())
-                if tf:
-                    want += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / 25.0))
-            assert got[k] == pytest.approx(want)
+    index = packing.Bm25Shard(docs, idf, 25.0, known)
+    assert known
+    for seed in range(12):
+        assert index.scores(seed) == pytest.approx(brute_bm25(docs, whole, idf, 25.0, seed), rel=1e-5)
+
+
+def test_windows_are_those_of_brute_force():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint32) for _ in range(60)]
+    df = np.array([sum(t in d for d in docs) for t in range(40)])
+    idf = np.log1p((60 - df + 0.5) / (df + 0.5))
+    scores = np.array([brute_bm25(docs, docs, idf, 15.0, k) for k in range(60)])
+    got = list(packing.fill_windows(packing.Bm25Shard(docs, idf, 15.0), [len(d) for d in docs], 64))
+    left, tail, want = list(range(60)), None, []
+    while left or tail:
+        if tail is None:
+            tail = (left.pop(0), 0)
+        seed, room, own = tail[0], 64, []
+        while tail and room:
+            doc, at = tail
+            take = min(room, len(docs[doc]) - at)
+            own.append((doc, at, take))
+            room -= take
+            tail = (doc, at + take) if at + take < len(docs[doc]) else None
+            if tail is None and room and left:
+                best = max(left, key=lambda k: (round(scores[seed][k], 4), -k))
+                left.remove(best)
+                tail = (best, 0)
+        want.append(own)
+    assert got == want
 
 
 def test_windows_take_the_best_neighbour_first():
@@ -171,5 +206,17 @@ def test_packing_covers_every_id_once(spark, tokenizer):
         assert at == whole <= 64 and (at == 64 or at & (at - 1) == 0)
 
 
+def test_related_documents_meet_wherever_they_are_stored(spark, monkeypatch):
+    """Documents of a topic share windows although each file holds all topics, and shards hold few documents."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    topics = ["granite quartz basalt feldspar", "violin cello sonata bassoon", "goalkeeper penalty offside striker", "photon neutrino quark boson"]
+    rows = [(k, " ".join([f"{topics[k % 4]} the and of"] * 10), "x") for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string").repartition(4)
+    got: dict = {}
+    for r in packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), window=256).collect():
+        got.setdefault(r.sequence_id, set()).add(r.doc_id % 4)
+    assert sum(len(s) == 1 for s in got.values()) > 0.7 * len(got)
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), tokenizer_path("word_bpe_49k.json")).count() == 0
