@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 
 from .shared import over_files, work_dir
 from .spool import read_spool, spool_tokens
+from .tokens import forget_encoders
 
 WINDOW = 2048
 #: Tokens and documents of a shard at most (a shard closes at the first document beyond either).
-SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8_000
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4_000
 K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's documents are held as rows of numbers, the others as lists.
 DENSE_SHARE = 1 / 16
@@ -251,6 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
         yield from keyed_documents(path, part, dtype, places, window)
 
     def pack(batches):
+        forget_encoders()
         yield from pack_part(batches, TaskContext.get().partitionId(), dtype, idf, mean_length, window)
 
     keyed = over_files(spark, [(p.number, p.path) for p in spool.parts], key, _KEYED)

@@ -19,7 +19,6 @@ from __future__ import annotations
 import codecs
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +67,6 @@ def _last_space_table() -> np.ndarray:
 
 
 _EDGES, _LAST_SPACE = _edge_table(), _last_space_table()
-_FAST_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-_FAST_BYTES = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Chunks in one string for the library.
 _JOINED = 256
 
@@ -187,16 +184,27 @@ class CachedEncoder:
     def _raw(tok, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _plain(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which chunks are letters only that the normaliser leaves as they are; byte-level ones may have a blank first."""
+        kinds = _kinds_of(data)
+        letter = kinds == _LETTER
+        if self.mode == "words":
+            letter &= (data < 65) | (data > 90)
+            letter[1:] &= (data[:-1] != 0xC3) | (data[1:] > 0x9E)
+        else:
+            alone = np.diff(np.append(starts, len(data))) == 1
+            letter[starts] |= (kinds[starts] == _BLANK) & ~alone
+        return np.logical_and.reduceat(letter, starts)
+
+    def _encode_new(self, chunks: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks in any order, and where those of each chunk start and how many they are."""
         start, count = np.zeros(len(chunks), np.int64), np.full(len(chunks), -1, np.int64)
-        plain = (_FAST_WORD if self.mode == "words" else _FAST_BYTES).fullmatch
-        fast = [k for k, c in enumerate(chunks) if plain(c)]
+        fast = np.flatnonzero(self._plain(np.frombuffer(b"".join(chunks), np.uint8), np.cumsum(size) - size))
         parts = [fast[k : k + _JOINED] for k in range(0, len(fast), _JOINED)]
-        joined = [codecs.charmap_decode(b"\n".join([chunks[k] for k in p]), "strict", _JOIN_LETTERS)[0] for p in parts]
+        joined = [codecs.charmap_decode(b"\n".join([chunks[k] for k in p.tolist()]), "strict", _JOIN_LETTERS)[0] for p in parts]
         flat, used = [], 0
         for part, ids in zip(parts, self._raw(self.model, joined)):
-            ends = np.cumsum([len(chunks[k]) for k in part])
+            ends = np.cumsum(size[part])
             at = np.cumsum(self.n_bytes[ids])
             last = np.searchsorted(at, ends, "left") + 1
             if last[-1] != len(ids) or (at[last - 1] != ends).any():
@@ -216,7 +224,8 @@ class CachedEncoder:
         new, self.index.new = self.index.new, []
         if not new:
             return
-        flat, start, count = self._encode_new(new)
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        flat, start, count = self._encode_new(new, size)
         self.flat = _roomy(self.flat, self.used + len(flat))
         self.start, self.count = (_roomy(x, self.known + len(new)) for x in (self.start, self.count))
         self.flat[self.used : self.used + len(flat)] = flat
@@ -224,7 +233,7 @@ class CachedEncoder:
         self.start[at], self.count[at] = self.used + start, count
         self.used += len(flat)
         self.known += len(new)
-        self.weight += len(new) + sum(len(c) // 64 for c in new)
+        self.weight += len(new) + int((size >> 6).sum())
 
     def _chunks(self, b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bytes that count, where the chunks start in them, and where each text does."""
@@ -292,6 +301,11 @@ def encoder(path: str, keep: int = 600_000) -> CachedEncoder:
     return _ENCODERS[path, keep]
 
 
+def forget_encoders() -> None:
+    """Frees what this worker's encoders hold."""
+    _ENCODERS.clear()
+
+
 def groups(texts: pa.Array, most: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts of about so many bytes in all; a longer text stands alone."""
     a, size = 0, 0
