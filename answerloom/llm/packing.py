@@ -38,6 +38,8 @@ from .tokens import forget_encoders
 WINDOW = 2048
 #: Tokens and documents of a shard at most (a shard closes at the first document beyond either).
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4_000
+#: Tokens, of all documents, for each task that packs.
+TASK_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's documents are held as rows of numbers, the others as lists.
 DENSE_SHARE = 1 / 16
@@ -256,4 +258,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
         yield from pack_part(batches, TaskContext.get().partitionId(), dtype, idf, mean_length, window)
 
     keyed = over_files(spark, [(p.number, p.path) for p in spool.parts], key, _KEYED)
-    return keyed.repartitionByRange("place", "tie").sortWithinPartitions("place", "tie").mapInArrow(pack, SCHEMA)
+    return keyed.repartitionByRange(1 + n_tokens // TASK_TOKENS, "place", "tie").sortWithinPartitions("place", "tie").mapInArrow(pack, SCHEMA)
