@@ -15,7 +15,7 @@ from .base import query, table
 # probabilities that stand in for a model's: three hash-like columns of each event
 PROBS = """
 p AS (SELECT event_id, user_id, event_type, ((event_id * 7919) % 1000) / 1000.0 AS p_pos, ((event_id * 104729) % 1000) / 1000.0 AS p_neg FROM events),
-s AS (SELECT CAST(user_id AS VARCHAR) AS text_key, 'ALL' AS scope, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS theme_idx, event_id, p_pos / 2 + p_neg / 8 AS p_pos, p_neg / 2 + p_pos / 8 AS p_neg FROM p WHERE event_id % 3 = 0)"""
+s AS (SELECT CAST(user_id AS VARCHAR) AS text_key, 'ALL' AS scope, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS theme_idx, event_id, p_pos / 2 + p_neg / 8 AS p_pos, p_neg / 2 + p_pos / 8 AS p_neg FROM p)"""
 AGG = PROBS + """,
 g AS (SELECT text_key, scope, theme_idx, max(p_pos) AS p_pos, max(p_neg) AS p_neg FROM s GROUP BY ALL),
 d AS (SELECT *, p_pos >= 0.5 AND p_neg <= p_pos + 0.05 AS pos, p_neg >= 0.5 AND p_pos <= p_neg + 0.05 AS neg FROM g)"""
@@ -27,7 +27,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.col("event_id") * 7919 % 1000) / 1000.0, (F.col("event_id") * 104729 % 1000) / 1000.0
     t = F.col("event_type")
     theme = F.when(t == "click", 0).when(t == "error", 1).when(t == "purchase", 2).when(t == "signup", 3).otherwise(4)
-    return e.where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("text_key"), F.lit("ALL").alias("scope"), theme.alias("theme_idx"), "event_id", (a / 2 + b / 8).alias("p_pos"), (b / 2 + a / 8).alias("p_neg"), F.lit(0.0).alias("p_neu"))
+    return e.select(F.col("user_id").cast("string").alias("text_key"), F.lit("ALL").alias("scope"), theme.alias("theme_idx"), "event_id", (a / 2 + b / 8).alias("p_pos"), (b / 2 + a / 8).alias("p_neg"), F.lit(0.0).alias("p_neu"))
 
 
 @query(f"""WITH {AGG} SELECT text_key, CAST(theme_idx AS INTEGER) AS theme_idx, round(p_pos, 6) AS p_pos, round(p_neg, 6) AS p_neg, CAST(pos AND neg AS INTEGER) AS mixed,
@@ -136,11 +136,11 @@ def pivot_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_CHAIN}, w AS (SELECT text_key, max(final) FILTER (theme_idx = 0) AS click, max(final) FILTER (theme_idx = 1) AS error FROM r WHERE u % 4 > 0 AND theme_idx < 2 OR theme_idx = 4 GROUP BY text_key)
+WITH {_CHAIN}, w AS (SELECT text_key, max(final) FILTER (theme_idx = 0) AS click, max(final) FILTER (theme_idx = 1) AS error FROM (SELECT text_key, theme_idx, CASE WHEN u % 4 > 0 THEN final END AS final FROM r) GROUP BY text_key)
 SELECT text_key, CASE click WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Positive' WHEN 2 THEN 'Negative' END AS click,
   CASE coalesce(error, CASE WHEN click IS NULL THEN 2 END) WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Positive' WHEN 2 THEN 'Negative' END AS error FROM w""")
 def general_fill_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chain(spark, sf_dir).where("(u % 4 > 0 and theme_idx < 2) or theme_idx = 4")
+    rows = _chain(spark, sf_dir).withColumn("final", F.when(F.col("u") % 4 > 0, F.col("final")))
     named = rows.withColumn("column_name", F.when(F.col("theme_idx") == 0, "click").when(F.col("theme_idx") == 1, "error"))
     wide = rating.wide_result(named, ["click", "error"], "text_key", code="final").withColumns({"answer": F.lit("x"), "overall": F.lit(2), "valid": F.lit(True)})
     filled = rating.fill_general(wide, ["click", "error"], "error", "answer", "overall", "valid", RatingRules())
@@ -155,10 +155,9 @@ def combined_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rating.combined([c.where("role = 'user'").select(F.col("conv_id").alias("row_id"), F.col("turn").alias("user_turn")), c.where("role = 'assistant'").select(F.col("conv_id").alias("row_id"), F.col("turn").alias("assistant_turn"))])
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the th') AND (CASE WHEN doc_id % 2 = 0 THEN lang END IS NOT NULL OR CASE WHEN doc_id % 5 = 0 THEN source END IS NOT NULL)")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the th') AND (lang IS NOT NULL OR source IS NOT NULL)")
 def result_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumns({"even": F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "fifth": F.when(F.col("doc_id") % 5 == 0, F.col("source"))})
-    return rating.search(d, "text", "The TH", ["even", "fifth"]).select("doc_id")
+    return rating.search(table(spark, sf_dir, "documents"), "text", "The TH", ["lang", "source"]).select("doc_id")
 
 
 # -- keywords -------------------------------------------------------------
@@ -166,25 +165,25 @@ def result_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = ("with", "that", "and")
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)\\b(?:with|that)(?:e?s)?\\b') AS first_theme, regexp_matches(text, '(?i)(?:^|[^a-z])eron[a-z]*(?:$|[^a-z])') AS raw_theme FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_matches(text, '(?i)\\b(?:with|that)(?:e?s)?\\b') AS first_theme, regexp_matches(text, '(?i)(?:^|[^a-z])eron[a-z]*(?:$|[^a-z])') AS raw_theme FROM documents")
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     raw = X.keyword_pattern(["re:(?:^|[^a-z])eron[a-z]*(?:$|[^a-z])"])
     return d.select("doc_id", F.rlike("text", F.lit(X.keyword_pattern(["with", "that"], plural=True))).alias("first_theme"), F.rlike("text", F.lit(raw)).alias("raw_theme"))
 
 
 @query("""
-SELECT doc_id, regexp_matches(text, '(?i)\\bthe\\b') AND NOT regexp_matches(text, '(?i)\\b(?:with|that)[ -]the\\b|\\bthe[ -](?:with|that)\\b') AS hit FROM documents WHERE lang = 'en'""")
+SELECT doc_id, regexp_matches(text, '(?i)\\bthe\\b') AND NOT regexp_matches(text, '(?i)\\b(?:with|that)[ -]the\\b|\\bthe[ -](?:with|that)\\b') AS hit FROM documents""")
 def compound_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", assign.keyword_hit(F.col("text"), "the", ["that", "with"], False).alias("hit"))
+    return table(spark, sf_dir, "documents").select("doc_id", assign.keyword_hit(F.col("text"), "the", ["that", "with"], False).alias("hit"))
 
 
 @query("""
-WITH d AS (SELECT text, (doc_id * 37 % 100) / 100.0 AS sim FROM documents WHERE lang = 'en'), k AS (SELECT unnest(['with', 'that', 'and']) AS word),
+WITH d AS (SELECT text, (doc_id * 37 % 100) / 100.0 AS sim FROM documents), k AS (SELECT unnest(['with', 'that', 'and']) AS word),
 h AS (SELECT word, sim FROM k, d WHERE regexp_matches(text, '(?i)\\b' || word || '\\b')), g AS (SELECT word, count(*) AS n, count(*) FILTER (sim >= 0.55) AS c FROM h GROUP BY word)
 SELECT word, CAST(n AS BIGINT) AS hits, CAST(c AS BIGINT) AS close FROM g WHERE n >= 5 AND c / n < 0.9""")
 def keyword_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("text").alias("clause"), F.array((F.col("doc_id") * 37 % 100 / 100.0)).alias("sims"))
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("clause"), F.array((F.col("doc_id") * 37 % 100 / 100.0)).alias("sims"))
     theme = Theme("Topic", np.zeros(1), curated_keywords=_WORDS)
     rules = AssignRules(min_sim=0.55, keyword_min_precision=0.9, keyword_plural=False)
     dropped = assign.tested_keywords(d, [theme], rules).dropped
@@ -192,15 +191,56 @@ def keyword_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT source, regexp_matches(text, '(?i)\\bthat\\b') AS u FROM documents WHERE lang = 'en')
+WITH d AS (SELECT source, regexp_matches(text, '(?i)\\bthat\\b') AS u FROM documents)
 SELECT round(avg(CASE WHEN u THEN 1.0 ELSE 0.0 END) FILTER (source = 'src0'), 6) AS inside, round(avg(CASE WHEN u THEN 1.0 ELSE 0.0 END) FILTER (source <> 'src0'), 6) AS outside,
   round(avg(CASE WHEN u THEN 1.0 ELSE 0.0 END) FILTER (source = 'src0') / (avg(CASE WHEN u THEN 1.0 ELSE 0.0 END) FILTER (source <> 'src0') + 0.02), 6) AS lift FROM d""")
 def name_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     r = quality.name_rates(d, F.rlike("text", F.lit(X.keyword_pattern(["that"]))), F.col("source") == "src0")
     return r.select(*[F.round(c, 6).alias(c) for c in ("inside", "outside", "lift")])
 
 
+_TYPES = """
+t AS (SELECT DISTINCT p_type AS matched_by FROM part WHERE p_type IS NOT NULL), k AS (SELECT matched_by, row_number() OVER (ORDER BY matched_by) - 1 AS theme_idx FROM t),
+e AS (SELECT theme_idx, list_distinct(regexp_extract_all(lower(split_part(matched_by, ' & ', 1)), '[a-z'']+')) AS ws, list_distinct(regexp_extract_all(lower(matched_by), '[a-z'']+')) AS assignable FROM k),
+w AS (SELECT theme_idx, len(ws) AS n_words, assignable, unnest(ws) AS word FROM e),
+s AS (SELECT word, count(*) / (SELECT count(*) FROM k)::DOUBLE AS share FROM w GROUP BY word),
+f AS (SELECT a.* FROM w a WHERE length(word) >= 3 AND list_contains(assignable, word) AND NOT EXISTS (SELECT 1 FROM w b WHERE b.n_words = 1 AND b.word = a.word AND b.theme_idx <> a.theme_idx)),
+j AS (SELECT f.*, n_words > 1 AND share > 0.10 AS common FROM f JOIN s USING (word)),
+n AS (SELECT * FROM j QUALIFY NOT (common AND bool_or(NOT common) OVER (PARTITION BY theme_idx)))"""
+
+
+def _type_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of parts as themes, numbered in order; there are a few hundred at most."""
+    types = [r.p_type for r in table(spark, sf_dir, "part").where("p_type is not null").select("p_type").distinct().orderBy("p_type").collect()]
+    return assign.theme_frame(spark, [Theme(t, np.zeros(1), assign_keywords=tuple(t.lower().split())) for t in types])
+
+
+def _type_shares(themes: DataFrame) -> DataFrame:
+    n = themes.count()
+    return assign.own_words(themes).groupBy("word").agg((F.count("*") / F.lit(float(n))).alias("share"))
+
+
+@query(f"WITH {_TYPES} SELECT CAST(theme_idx AS INTEGER) AS theme_idx, word FROM n")
+def name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    themes = _type_themes(spark, sf_dir)
+    return assign.name_words(themes, AssignRules(), _type_shares(themes))
+
+
+@query(f"WITH {_TYPES} SELECT CAST(theme_idx AS INTEGER) AS theme_idx, CAST(row_number() OVER (PARTITION BY theme_idx ORDER BY word) - 1 AS INTEGER) AS position, word FROM n")
+def matching_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    themes = _type_themes(spark, sf_dir)
+    return assign.matching_words(themes, AssignRules(), _type_shares(themes))
+
+
+@query("""
+WITH r AS (SELECT r_regionkey, r_name, list_distinct(regexp_extract_all(lower(r_name), '[a-z'']+')) AS ws FROM region)
+SELECT CAST(row_number() OVER (ORDER BY r_name) - 1 AS INTEGER) AS theme_idx, ws[1] AS word FROM r QUALIFY len(ws) = 1 AND length(ws[1]) >= 3""")
+def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r.r_name for r in table(spark, sf_dir, "region").orderBy("r_name").collect()]
+    return assign.label_words(assign.theme_frame(spark, [Theme(n, np.zeros(1)) for n in names]), AssignRules())
+
+
 # -- names and coherence --------------------------------------------------
 
 
@@ -261,7 +301,7 @@ def mmr_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _METRICS = """
 m AS (SELECT CAST(p_size AS INTEGER) AS asked, CAST(p_size AS INTEGER) AS themes, CAST(min(p_partkey) % 2 AS INTEGER) AS mixed, 0 AS weak_names, CAST(max(p_partkey) % 2 AS INTEGER) AS below_bar, 0 AS near_duplicates,
-  CAST(count(*) AS INTEGER) AS smallest_theme, avg(p_retailprice) / 10000 AS coherence, round(min(p_retailprice) / 3000, 6) AS name_coverage_mean, p_size / 250.0 AS not_specific, 0.02 AS unmatched, 1.0 / p_size AS smallest_share FROM part WHERE p_size BETWEEN 4 AND 16 GROUP BY p_size)"""
+  CAST(count(*) AS INTEGER) AS smallest_theme, avg(p_retailprice) / 10000 AS coherence, round(min(p_retailprice) / 3000, 6) AS name_coverage_mean, p_size / 250.0 AS not_specific, 0.02 AS unmatched, 1.0 / p_size AS smallest_share FROM part GROUP BY p_size)"""
 
 
 @query(f"""
@@ -270,7 +310,7 @@ WITH {_METRICS}, d AS (SELECT *, mixed + greatest(weak_names, below_bar) + near_
 t AS (SELECT max(score) FILTER (problems = 0) AS top FROM d), g AS (SELECT *, coalesce(problems = 0 AND score >= top - 0.10, false) AS good FROM d, t)
 SELECT asked, CAST(problems AS INTEGER) AS problems, round(score, 6) AS score FROM g ORDER BY good DESC, CASE WHEN good THEN -asked END ASC NULLS LAST, problems, score DESC, asked LIMIT 1""")
 def recommend_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size between 4 and 16")
+    p = table(spark, sf_dir, "part")
     zero = F.lit(0)
     m = p.groupBy(F.col("p_size").alias("asked")).agg(F.first("p_size").alias("themes"), (F.min("p_partkey") % 2).cast("int").alias("mixed"), zero.alias("weak_names"), (F.max("p_partkey") % 2).cast("int").alias("below_bar"), zero.alias("near_duplicates"), F.count("*").cast("int").alias("smallest_theme"), (F.avg("p_retailprice") / 10000).alias("coherence"), F.round(F.min("p_retailprice") / 3000, 6).alias("name_coverage_mean"))
     m = m.withColumns({"not_specific": F.col("asked") / 250.0, "unmatched": F.lit(0.02), "smallest_share": 1.0 / F.col("asked")})

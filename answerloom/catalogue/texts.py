@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evaluation, ingest, quality, rating, segment, sentiment, spelling
+from ..operators import discover, evaluation, ingest, quality, rating, segment, sentiment, spelling
+from ..operators.backends import FUNCTION_WORDS
 from .base import query, table
 
 CLEAN = r"trim(regexp_replace(replace(coalesce({c}, ''), '�', ''''), '\s+', ' ', 'g'))"
@@ -41,15 +42,11 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH n AS (SELECT role, count(*) AS k FROM conversations WHERE role IS NOT NULL GROUP BY role), s AS (SELECT sum(k) AS total, count(*) AS labels, min(k) AS least FROM n)
 SELECT role, CAST(k AS BIGINT) AS answers, round(k / total, 6) AS share, labels BETWEEN 2 AND 12 AND least >= greatest(3, 0.02 * total) AS is_question_column FROM n, s""")
 def layout_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations")
-    found = ingest.detect_layout(conv.select("conv_id", "role", "text"))
+    conv = table(spark, sf_dir, "conversations").select("role", "text")
+    found = ingest.detect_layout(conv)
     g = conv.where("role is not null").groupBy("role").agg(F.count("*").alias("answers"))
     total = F.broadcast(g.agg(F.sum("answers").alias("total")))
-    is_question = F.lit(found.kind == "long" and found.question_col == "role") if found.kind == "long" else F.lit(False)
-    if found.kind != "long":  # three columns need a hint in the name; the labels themselves qualify
-        found = ingest.detect_layout(conv.select("role", "text"))
-        is_question = F.lit(found.kind == "long" and found.question_col == "role")
-    return g.crossJoin(total).select("role", "answers", F.round(F.col("answers") / F.col("total"), 6).alias("share"), is_question.alias("is_question_column"))
+    return g.crossJoin(total).select("role", "answers", F.round(F.col("answers") / F.col("total"), 6).alias("share"), F.lit(found.kind == "long" and found.question_col == "role").alias("is_question_column"))
 
 
 @query(f"""
@@ -116,14 +113,15 @@ def segment_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clause_counts(spark, sf_dir, 4)
 
 
-@query("""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']{3,}')) AS word FROM documents)
-SELECT word, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM w GROUP BY word HAVING count(DISTINCT doc_id) >= 4""")
+_OUT = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(discover.DiscoverRules().noise | FUNCTION_WORDS))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS word FROM documents),
+t AS (SELECT DISTINCT doc_id, CASE WHEN length(word) > 4 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN left(word, -1) ELSE word END AS word FROM w WHERE regexp_full_match(word, '\\p{{L}}{{3,}}') AND word NOT IN ({_OUT}))
+SELECT word, CAST(count(*) AS BIGINT) AS df FROM t GROUP BY word HAVING count(*) >= greatest(4, 0.01 * (SELECT count(*) FROM documents))""")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']{3,}"), 0)).alias("word"))
-    # counted within each document first, so that the exchange is of distinct words
-    per_doc = words.groupBy("word", "doc_id").agg(F.count("*").alias("k"))
-    return per_doc.groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("df")).where("df >= 4")
+    return discover.vocabulary(table(spark, sf_dir, "documents").withColumnRenamed("text", "clause"), discover.DiscoverRules())
 
 
 @query("""

@@ -49,12 +49,12 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 m AS (SELECT i, avg(x) AS mu FROM e GROUP BY i), d AS (SELECT vec_id, i, x - 0.7 * mu AS x FROM e JOIN m USING (i)), n AS (SELECT vec_id, sqrt(sum(x * x)) + 1e-12 AS n FROM d GROUP BY vec_id)
-SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(x / n, 6) + 0.0 AS x FROM d JOIN n USING (vec_id) WHERE i <= 4""")
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(x / n, 6) + 0.0 AS x FROM d JOIN n USING (vec_id)""")
 def center_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     mean = np.array(V.group_means(e.select(F.lit(0).alias("k"), "vec"), "k", "vec").first()["mean"])
     c = V.centred(e, "vec", mean, 0.7)
-    return c.select("vec_id", F.posexplode(F.slice("centred", 1, 4)).alias("i", "x")).select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+    return c.select("vec_id", F.posexplode("centred").alias("i", "x")).select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query(f"WITH {CENTRES} SELECT theme_idx, CAST(i - 1 AS INTEGER) AS i, round(x, 6) + 0.0 AS x FROM (SELECT theme_idx, unnest(centre) AS x, generate_subscripts(centre, 1) AS i FROM c)")
@@ -227,8 +227,8 @@ def trim_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CENTRES} SELECT a.theme_idx AS i, b.theme_idx AS j, round(list_inner_product(a.centre, b.centre), 6) AS sim FROM c a JOIN c b ON a.theme_idx < b.theme_idx WHERE list_inner_product(a.centre, b.centre) >= 0.1")
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _centres(label_themes(labelled(spark, sf_dir)))
-    pairs = quality.duplicate_pairs(c, [[]] * len(c), merge_sim=0.1)
-    return spark.createDataFrame([(i, j, float(np.round(c[i] @ c[j], 6))) for _, i, j in pairs], "i int, j int, sim double")
+    pairs = quality.theme_pairs(quality.theme_frame(spark, c, [[]] * len(c)))
+    return quality.duplicate_pairs(pairs, merge_sim=0.1).select("i", "j", F.round("centre_cosine", 6).alias("sim"))
 
 
 @query(f"""
@@ -239,7 +239,8 @@ SELECT i, j, round(z, 6) AS z FROM y WHERE z >= 0.8 AND jac > 0 AND zj >= 0.8"""
 def outlier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _centres(label_themes(labelled(spark, sf_dir)))
     words = [["even"] if j % 2 == 0 else ["odd"] for j in range(len(c))]
-    return spark.createDataFrame([(i, j, float(np.round(z, 6))) for z, i, j in quality.outlier_pairs(c, words, 0.8)], "i int, j int, z double")
+    pairs = quality.theme_pairs(quality.theme_frame(spark, c, words))
+    return quality.outlier_pairs(pairs, 0.8).select("i", "j", F.round("strength", 6).alias("z"))
 
 
 @query(f"""
@@ -304,7 +305,10 @@ def split_to_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.split_to_count(groups, 4, DISCOVER).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT DISTINCT label FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
+SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS position, CASE label WHEN 0 THEN 'pair' WHEN 2 THEN 'second' WHEN 4 THEN 'fourth' ELSE 'label ' || label END AS name, 'label ' || label AS matched_by, CASE label WHEN 0 THEN 2 ELSE 0 END AS parts
+FROM l WHERE label NOT IN (1, 3)""")
 def curation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.curation import curate
 
@@ -334,11 +338,11 @@ def themes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {CENTRES}, p AS (SELECT theme_idx, abs(list_inner_product(centre, (SELECT centre FROM c WHERE theme_idx = 0))) AS p FROM c),
-z AS (SELECT theme_idx, (p - avg(p) OVER ()) / (stddev_pop(p) OVER () + 1e-12) AS z FROM p) SELECT 'label ' || theme_idx AS word FROM z WHERE z > 1.0""")
+z AS (SELECT theme_idx, (p - avg(p) OVER ()) / (stddev_pop(p) OVER () + 1e-12) AS z FROM p) SELECT 'label ' || theme_idx || unnest(['', 's']) AS word FROM z WHERE z > 1.0""")
 def opinion_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     themes = label_themes(labelled(spark, sf_dir))
-    found = discover.opinion_words([t.name for t in themes], _centres(themes), themes[0].centre, 1.0)
-    return spark.createDataFrame([(w,) for w in sorted(found) if not w.endswith("s")], "word string")
+    words = spark.createDataFrame([(t.name, t.centre.tolist()) for t in themes], "word string, vec array<double>")
+    return discover.opinion_words(words, themes[0].centre, 1.0)
 
 
 @query()

@@ -118,21 +118,20 @@ def trim_clause(c: Column) -> Column:
 
 def cut_at_and(c: Column, least: int) -> Column:
     """The two or more parts around "and" where all of them have so many words, else the piece itself."""
-    parts = F.split(c, r"(?i)\s+and\s+")
-    long_enough = F.forall(parts, lambda p: word_count(p) >= least)
-    return F.when((F.size(parts) > 1) & long_enough, parts).otherwise(F.array(c))
+
+    def chosen(parts: Column) -> Column:
+        return F.when((F.size(parts) > 1) & F.forall(parts, lambda p: word_count(p) >= least), parts).otherwise(F.array(c))
+
+    return let(F.split(c, r"(?i)\s+and\s+"), chosen)
 
 
 def clauses(c: Column | str, contrast: Sequence[str], min_words: int = 2, keep_short: bool = False, not_opinion: Sequence[str] = (), and_words: int = 0) -> Column:
     """The clauses of an answer in their order; an answer without one is its own clause."""
     pattern = contrast_pattern(contrast)
 
-    def of_sentence(s: Column) -> Column:
-        parts = F.split(s, pattern)
+    def of_parts(parts: Column) -> Column:
         several = F.size(parts) > 1
-        if and_words:
-            parts = F.flatten(F.transform(parts, lambda p: cut_at_and(p, and_words)))
-        trimmed = F.transform(parts, trim_clause)
+        pieces = F.flatten(F.transform(parts, lambda p: cut_at_and(p, and_words))) if and_words else parts
 
         def keep(p: Column) -> Column:
             ok = word_count(p) >= min_words
@@ -140,10 +139,10 @@ def clauses(c: Column | str, contrast: Sequence[str], min_words: int = 2, keep_s
                 ok |= several & F.rlike(p, F.lit(r"^(?U)\p{Alpha}{3,}$")) & ~F.lower(p).isin([w.lower() for w in not_opinion])
             return ok
 
-        return F.filter(trimmed, keep)
+        return let(F.transform(pieces, trim_clause), lambda trimmed: F.filter(trimmed, keep))
 
-    found = F.flatten(F.transform(sentences(c), of_sentence))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(col(c)))
+    of_sentences = F.flatten(F.transform(sentences(c), lambda s: let(F.split(s, pattern), of_parts)))
+    return let(of_sentences, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(col(c))))
 
 
 # -- negation and valence -------------------------------------------------

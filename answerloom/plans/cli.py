@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..sources.config import Config
 from ..sources.sinks import write_tables
 from ..sources.state import load_json, save_json
 from ..sources.tables import read_table
-from .curation import Edits, apply_command, overrides
+from .curation import EditError, Edits, edited, overrides
 from .pipeline import run
 
 
@@ -36,9 +37,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(master=a.master)
     config = Config.load(a.config) if a.config else Config({})
     edits_file = f"{a.run_dir}/edits.json"
-    edits = Edits(**(load_json(edits_file) or {}))
+    edits = Edits.load(load_json(edits_file))
     if a.n_themes:
-        edits.n_themes = a.n_themes
+        edits = replace(edits, n_themes=a.n_themes)
     table = read_table(spark, a.input)
     if "row_id" not in table.columns:
         table = with_row_ids(table.withColumn("_order", F.monotonically_increasing_id()), ["_order"]).drop("_order")
@@ -46,12 +47,13 @@ def main(argv: list[str] | None = None) -> int:
         found = run(spark, table, config.with_overrides(overrides(edits, config.get("themes.curation"))), a.run_dir, a.input, "themes")
         names = [t.name for ts in found.themes.values() for t in ts]
         for line in a.edit:
-            wrong = apply_command(line, edits, names)
-            if wrong:
-                print(wrong)
+            try:
+                edits = edited(line, edits, names)
+            except EditError as e:
+                print(e)
                 return 2
     out = run(spark, table, config.with_overrides(overrides(edits, config.get("themes.curation"))), a.run_dir, a.input, a.until, a.force or a.rediscover)
-    save_json(edits_file, vars(edits))
+    save_json(edits_file, edits.record())
     for scope, report in out.report.items():
         print(summary_line(scope, report["summary"]))
     if out.result is not None:

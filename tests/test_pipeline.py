@@ -89,12 +89,14 @@ def test_dense_groups_and_topic_words(spark):
     assert moved.columns == ["clause_id", "clause", "vec"] and all(abs(np.linalg.norm(r.vec) - 1) < 1e-6 for r in moved.collect())
 
 
-def test_words_of_judgement():
-    words = [f"w{k}" for k in range(10)] + ["nice"]
-    v = np.array([[1.0, 0.01 * k] for k in range(10)] + [[0.1, 1.0]])
-    assert discover.opinion_words(words, v, np.array([0.0, 1.0])) == {"nice", "nices"}
-    assert discover.opinion_words(words[:3], v[:3], np.array([0.0, 1.0])) == set()
+def test_words_of_judgement(spark):
+    rows = [(f"w{k}", [1.0, 0.01 * k]) for k in range(10)] + [("nice", [0.1, 1.0])]
+    words = spark.createDataFrame(rows, "word string, vec array<double>")
+    axis = np.array([0.0, 1.0])
+    assert {r.word for r in discover.opinion_words(words, axis).collect()} == {"nice", "nices"}
+    assert discover.opinion_words(words.limit(3), axis).count() == 0
     assert "product" in discover.noise_words("hybrid", {"nice"}) and discover.noise_words("data", {"nice"}) == {"nice"}
+    assert discover.noise_words("fixed") - discover.noise_words("language") == discover.SURVEY_WORDS
 
 
 def test_sharpened():
@@ -190,7 +192,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps(SETTINGS))
     args = ["--config", f"{tmp_path}/c.json", "--input", f"file://{tmp_path}/s.csv", "--run-dir", f"{tmp_path}/run"]
     assert cli.main([*args, "--until", "themes"]) == 0
-    assert cli.main([*args, "--edit", "drop Nobody"]) == 2 and "no theme" in capsys.readouterr().out
+    assert cli.main([*args, "--edit", "drop Nobody"]) == 2 and "not a theme" in capsys.readouterr().out
 
 
 def test_settings():

@@ -1,5 +1,7 @@
 """Ratings, polarity, quality figures and suggestions."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,9 +65,6 @@ def test_result_table(spark):
 
 
 def test_coherence_and_gini(spark):
-    a = np.array([1, 1, 0, 0], bool)
-    assert quality.npmi_of_masks([a, a]) == pytest.approx(1.0) and quality.npmi_of_masks([a, ~a]) == -1.0
-    assert quality.npmi_of_masks([a, np.zeros(4, bool)]) is None
     docs = spark.createDataFrame([(1, "red blue"), (2, "red blue"), (3, "green"), (4, "none")], "doc_id long, text string")
     assert quality.npmi(docs, ["red", "blue"]).first()[0] == pytest.approx(1.0)
     assert quality.npmi(docs, ["red", "green"]).first()[0] == -1.0
@@ -143,15 +142,23 @@ def test_curation():
 def test_commands():
     edits, names = curation.Edits(), ["Easy", "Bottle", "Price"]
     for line in ("n 8", "add Colour: red, blue", "merge Easy + Bottle = Opening", "rename price = Cost", "remove Easy"):
-        assert curation.apply_command(line, edits, names) is None
-    assert edits.n_themes == 8 and edits.required == [{"name": "Colour", "keywords": ["red", "blue"]}]
-    assert edits.ops == [["merge", "Opening", ["Easy", "Bottle"]], ["rename", "Price", "Cost"], ["drop", "Easy"]]
-    before = repr(edits)
-    for line in ("n 1", "add", "remove Nobody", "merge Easy", "rename Easy", "what"):
-        assert curation.apply_command(line, edits, names) and repr(edits) == before
-    assert curation.apply_command("remove colour", edits, names) is None and edits.required == []
-    assert curation.apply_command("reset", edits, names) is None and edits == curation.Edits()
+        edits = curation.edited(line, edits, names)
+    assert edits.n_themes == 8 and edits.required == ({"name": "Colour", "keywords": ["red", "blue"]},)
+    assert edits.ops == (("merge", "Opening", ["Easy", "Bottle"]), ("rename", "Price", "Cost"), ("drop", "Easy"))
+    assert curation.Edits.load(json.loads(json.dumps(edits.record()))) == edits
+    for line in ("n 1", "n many", "add", "add :", "remove Nobody", "remove ,", "merge Easy", "merge Easy + Nobody", "rename Easy", "rename Nobody = X", "what", ""):
+        with pytest.raises(curation.EditError):
+            curation.edited(line, edits, names)
+    assert curation.edited("Remove colour, Price", edits, names).required == ()
+    assert curation.edited("add colour", edits, names).required == ({"name": "colour"},)
+    assert curation.edited("reset", edits, names) == curation.Edits()
     assert curation.parse_required("Price: cost, value\n\nTaste") == [{"name": "Price", "keywords": ["cost", "value"]}, {"name": "Taste"}]
+    assert curation.overrides(edits, {"ops": [["drop", "x"]]})["themes"]["curation"]["ops"][0] == ["drop", "x"]
+
+
+def test_protected_names():
+    said = curation.protected_names([{"name": "A"}], {"merge": {"B": ["C", "d"]}, "extra_keywords": {"E": ["word"]}, "seeds": {"F": ["x"]}, "ops": [["rename", "G", "H"], ["merge", None, ["I", "J"]]]})
+    assert said == set("abcdefghij")
 
 
 def test_evaluation(spark):
@@ -159,3 +166,18 @@ def test_evaluation(spark):
     coded = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, "z")], "item long, coder_theme string")
     assert evaluation.theme_f1(found, coded).first().f1 == pytest.approx((1.0 * 2 + 2 / 3 * 2 + 0) / 5)
     assert evaluation.coder_groups(["Taste (+)", "Taste (-)", "Price (1)"]) == {"Taste": ["Taste (+)", "Taste (-)"], "Price": ["Price (1)"]}
+
+
+def test_bisections(spark):
+    from answerloom.operators import discover
+
+    rng = np.random.default_rng(3)
+    rows = [(k, 0, ([1.0, 0.0, 0.2] if k % 3 else [0.0, 1.0, 0.1]) + 0.05 * rng.normal(size=3)) for k in range(60)]
+    df = spark.createDataFrame([(k, g, v.tolist()) for k, g, v in rows], "clause_id long, cluster int, vec array<double>")
+    for limit in (1000, 10):  # ward linkage, and bisecting k-means over all rows
+        out, score = discover.bisect(df, 0, discover.DiscoverRules(ward_limit=limit), 1)
+        found = {r.clause_id: r.cluster for r in out.collect()}
+        assert found == {k: 0 if k % 3 else 1 for k in range(60)}
+        x, lab = np.array([v for *_, v in rows]), np.array([found[k] for k, *_ in rows])
+        assert score == pytest.approx(clustering.silhouette(x, lab))
+    assert discover.group_silhouette(df) == -1.0
