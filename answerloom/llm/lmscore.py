@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import prefix_sums, span_sums
 from .shared import open_fs, work_dir
 
 #: Words that the vocabulary of the uniform share has at least; with more distinct words in the corpus it has those.
@@ -37,19 +38,10 @@ WORDS = 1 << 18
 PAIR_WEIGHT, ADDED = 0.4, 0.1
 #: Bytes of text in a chunk (64 more for each document), and of the corpus for each part of the key range.
 CHUNK, PART = 1 << 22, 1 << 23
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64)]
-_INVERSE = [np.ones(1, np.uint64)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(kept: list[np.ndarray], base: int, n: int) -> np.ndarray:
-    while len(kept[0]) < n:
-        kept[0] = np.concatenate([kept[0], kept[0] * np.uint64(pow(base, len(kept[0]), 1 << 64))])
-    return kept[0][:n]
-
-
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of every word (run of bytes that are no ASCII white space), in order."""
     b = np.frombuffer(data, np.uint8)
@@ -58,8 +50,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     space = _SPACE[b]
     edges = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
     first, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(_POWERS, _BASE, len(b)))])
-    h = (sums[end] - sums[first]) * _powers(_INVERSE, pow(_BASE, -1, 1 << 64), len(b))[first]
+    h = span_sums(prefix_sums(b), first, end)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 

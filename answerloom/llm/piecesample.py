@@ -10,7 +10,8 @@ the same pieces wherever and however often it is computed.
 
 Where no piece of the vocabulary spans the start of a run of spaces the lattice
 falls apart into segments there. Each distinct segment of a batch is filtered
-once, and all segments are sampled in step. Characters without a piece of their
+once, and all segments are sampled in step (a text without spaces is one
+segment; it takes one step for each byte). Characters without a piece of their
 own go by byte pieces. Pieces concatenate to the exact text: a space is the
 piece mark, no prefix is added, and a literal mark in a text goes by bytes.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lmscore import _BASE, _INVERSE, _POWERS, _powers
+from .rolling import mix, prefix_sums, span_sums
 from .tokens import groups
 
 THETA = 1.0
@@ -37,18 +38,15 @@ SEED = 20240101
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def span_keys(b: np.ndarray, sums: np.ndarray | None, first: np.ndarray, length: int) -> np.ndarray:
+    """A key for each span of one length: up to eight bytes these bytes themselves, mixed one to one; beyond, a hash.
 
-
-def prefix_sums(b: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(_POWERS, _BASE, len(b)))])
-
-
-def span_hashes(sums: np.ndarray, first: np.ndarray, length) -> np.ndarray:
-    return mix((sums[first + length] - sums[first]) * _powers(_INVERSE, pow(_BASE, -1, 1 << 64), len(sums))[first])
+    ``b`` has eight more bytes after the last span.
+    """
+    if length > 8:
+        return mix(span_sums(sums, first, first + length))
+    words = np.ndarray(len(b) - 7, "<u8", b, 0, (1,))[first].astype(np.uint64)
+    return mix(words & np.uint64((1 << 8 * length) - 1))
 
 
 class PieceSampler:
@@ -89,7 +87,7 @@ class PieceSampler:
         for length in sorted(set(size[normal].tolist()) - {0}):
             ids = normal[size[normal] == length]
             data = np.concatenate([self.flat[self.at[k] : self.at[k] + length] for k in ids])
-            h = span_hashes(prefix_sums(data), np.arange(len(ids)) * length, length)
+            h = span_keys(np.concatenate([data, np.zeros(8, np.uint8)]), prefix_sums(data), np.arange(len(ids)) * length, length)
             order = np.argsort(h)
             self.tables.append((length, h[order], ids[order]))
             self.maybe[(h >> np.uint64(44)).astype(np.int64)] = True
@@ -106,20 +104,26 @@ class PieceSampler:
 
     def _edges(self, b: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece) of all pieces in the segments; room: bytes left in the segment at each place."""
-        sums = prefix_sums(b)
+        sums, padded = prefix_sums(b), np.concatenate([b, np.zeros(8, np.uint8)])
         starts, lengths, pieces = [], [], []
         for length, table, ids in self.tables:
             at = np.flatnonzero(room >= length)
             if not len(at):
                 break
-            h = span_hashes(sums, at, length)
+            h = span_keys(padded, sums, at, length)
             keep = self.maybe[(h >> np.uint64(44)).astype(np.int64)]
             at, h = at[keep], h[keep]
             k = np.minimum(np.searchsorted(table, h), len(table) - 1)
             keep = table[k] == h
-            starts.append(at[keep])
-            lengths.append(np.full(int(keep.sum()), length))
-            pieces.append(ids[k[keep]])
+            at, own = at[keep], ids[k[keep]]
+            if length > 8:  # a hash is not the bytes
+                same = np.ones(len(at), bool)
+                for place in range(length):
+                    same &= b[at + place] == self.flat[self.at[own] + place]
+                at, own = at[same], own[same]
+            starts.append(at)
+            lengths.append(np.full(len(at), length))
+            pieces.append(own)
         wide = np.ones(len(b), np.int64)
         for least, n in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
             wide[b >= least] = n
@@ -147,16 +151,14 @@ class PieceSampler:
         doc_at = np.cumsum(size) - size
         seg = self._segments(b, doc_at[size > 0])
         n = np.diff(np.concatenate([seg, [len(b)]]))
-        # distinct segments
-        h = span_hashes(prefix_sums(b), seg, n)
-        _, rep, which = np.unique(h, return_index=True, return_inverse=True)
-        d_size = n[rep]
-        d_at = np.cumsum(d_size) - d_size
-        inside = np.arange(d_size.sum()) - np.repeat(d_at, d_size)
-        d = b[np.repeat(seg[rep], d_size) + inside]
-        place = np.arange(len(b)) - np.repeat(seg, n)
-        if (n != d_size[which]).any() or (d[np.repeat(d_at[which], n) + place] != b).any():
-            raise ValueError("two segments share a hash")
+        # distinct segments, by their bytes
+        edges = pa.py_buffer(np.append(seg, len(b)).astype(np.int64))
+        known = pa.Array.from_buffers(pa.large_binary(), len(seg), [None, edges, pa.py_buffer(b)]).dictionary_encode()
+        which, distinct = known.indices.to_numpy(), known.dictionary
+        ends = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        d = np.frombuffer(distinct.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        d_size, d_at = np.diff(ends), ends[:-1] - ends[0]
+        inside = np.arange(len(d)) - np.repeat(d_at, d_size)
         first, last, weight, piece, origin = self._filter(d, inside, np.repeat(d_size, d_size) - inside)
         # backward sampling; the node after byte x of the distinct segments has number x
         out = np.full(len(b), -1, np.int64)

@@ -180,3 +180,20 @@ def test_segmentation_query(spark):
     assert collections.Counter((r.doc_id, r.decoded_sha256) for r in got) == want
     pieces = piecesample.sampled_pieces(df.where("doc_id = 3"), tokenizer_path("piece_bpe_32k.model")).collect()
     assert pieces[0].pieces == pieces[1].pieces
+
+
+def test_texts_whose_hashes_collide_stay_apart(sampler):
+    """Two strings after the Thue-Morse sequence and its complement: any polynomial hash modulo 2 ** 64 takes them for one."""
+    bits = [bin(k).count("1") & 1 for k in range(4096)]
+    data = [bytes(97 + (b ^ flip) for b in bits) for flip in (0, 1)] + [b"x" * 20_000 + "日本語".encode() * 2_000]
+    ids, n = sampler.sample(data, [1, 2, 3])
+    ends = np.cumsum(n)
+    assert [sampler.decode(ids[b - m : b]) for b, m in zip(ends.tolist(), n.tolist())] == data
+
+
+def test_segmentation_of_nothing_and_with_clashing_columns(spark):
+    model = tokenizer_path("piece_bpe_32k.model")
+    schema = "doc_id long, text string, pieces string, n_pieces int, lossless string"
+    assert piecesample.segmentation_digests(spark.createDataFrame([], schema), model).count() == 0
+    row = piecesample.segmentation_digests(spark.createDataFrame([(1, "a b", "x", 7, "y")], schema), model).first()
+    assert row.lossless is True and row.n_bytes == 3
