@@ -1,6 +1,7 @@
 """The native secret scan against Python's re and a plain Markov score."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -31,7 +32,7 @@ def base_spans(text):
 
 def all_spans(text, table):
     base = base_spans(text)
-    for m in re.finditer(S.TOKEN, text):
+    for m in re.finditer(S.TOKEN % S.TOKEN_LEAST, text):
         t = m[0]
         ratio = sum(round(table[ord(a) * 128 + ord(b)], 4) for a, b in zip(t, t[1:])) / (len(t) - 1)
         if ratio >= S.LEAST_RATIO and not any(b[0] < m.end() and m.start() < b[2] for b in base):
@@ -88,3 +89,26 @@ def test_redaction(spark, table):
                 out += t[at:a] + S.MARK
             at = max(at, b)
         assert got[k].text == out + t[at:] and got[k].n_chars == len(got[k].text)
+
+
+def test_the_models_do_not_depend_on_the_session(spark):
+    before = S.transition_table(S.labelled_samples(spark))
+    for k in range(3):
+        spark.udf.register(f"zqx_{k}_wvk", lambda x: x)
+    spark.conf.set("spark.answerloom.zzz.qqq", "1")
+    assert S.transition_table(S.labelled_samples(spark)) == before
+    samples = S.labelled_samples(spark)
+    assert samples.where("random").count() == 2 * samples.where("not random").count() == 2 * S.SAMPLES
+
+
+def test_held_out_tokens_by_length(spark):
+    """Random tokens the models have not seen, and ordinary ones, from 20 characters on and, as a parameter, from 12 on."""
+    rng = random.Random(7)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    tokens = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (12, 16, 20, 24, 40) for _ in range(100)]
+    plain = ["responsibilities_of_the_manager", "internationalisation-of-services", "Geschwindigkeitsbegrenzungen", "numberOfActiveConnections"]
+    df = spark.createDataFrame(list(enumerate(tokens + plain)), "doc_id long, text string")
+    for least, some in ((20, 300), (12, 500)):
+        found = S.find_secrets(df, token_least=least).where("size(filter(secret_spans, s -> s.kind = 3)) > 0").select("doc_id").collect()
+        ids = {r.doc_id for r in found}
+        assert sum(k < 500 for k in ids) >= 0.95 * some and all(k < 500 for k in ids)
