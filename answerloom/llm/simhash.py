@@ -26,6 +26,10 @@ from .shared import work_dir
 RADIUS, BLOCKS = 3, 6
 #: Fingerprints of one bucket that one task compares.
 SPLIT = 20_000
+#: A bucket's size is foreseen from one in so many fingerprints (by hash); a bucket that is missed is dealt out when it is met.
+FORESEEN_BY = 16
+#: Rows of one fingerprint from which its component is broadcast to them, at least, and fingerprints that are, at most.
+HEAVY_ROWS, MOST_HEAVY = 256, 100_000
 #: Words of 64 distances that are held at once; in a dense bucket all of them can be links.
 CELLS = 1 << 15
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -176,13 +180,28 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
 
 def near_links(classes: DataFrame, folder: str, radius: int = RADIUS, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
     """Links (a, b) among distinct fingerprints (fp): every pair within the radius is connected by them."""
-    masks = block_masks(blocks, radius)
-    keyed = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"))
-    keyed = keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
+    spark, keys = classes.sparkSession, ["choice", "bits"]
+    masks = F.array(*[F.lit(m) for m in block_masks(blocks, radius)])
+
+    def in_buckets(of: DataFrame) -> DataFrame:
+        return of.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+
+    some = in_buckets(classes.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(FORESEEN_BY)) == 0))
+    foreseen = some.groupBy(*keys).agg((F.count("*") * FORESEEN_BY).alias("n")).where(F.col("n") > split)
+    foreseen.select(*keys, F.ceil(F.col("n") / split).alias("chunks")).write.mode("overwrite").parquet(f"{folder}/foreseen")
+    foreseen = spark.read.schema("choice int, bits long, chunks long").parquet(f"{folder}/foreseen")
+    any_large, keyed = not foreseen.isEmpty(), in_buckets(classes)
+    # at most 20 / split of the fingerprints' number: a small table up to billions of them
+    few = foreseen.count() <= MOST_HEAVY if any_large else False
+    known = F.broadcast(foreseen) if few else foreseen
+    dealt = keyed.join(known, keys).select("fp", *keys, F.pmod(F.xxhash64("fp", F.lit(2)), F.col("chunks")).alias("chunk"), "chunks") if any_large else None
+    if any_large:
+        keyed = keyed.join(known, keys, "left_anti")
+    keyed = keyed.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches):
         out: list = []
-        for key, fps in _runs(batches, ["choice", "bits"]):
+        for key, fps in _runs(batches, keys):
             if len(fps) > split:
                 chunks, fps = -(-len(fps) // split), np.sort(fps)
                 for c in range(chunks):
@@ -201,21 +220,25 @@ def near_links(classes: DataFrame, folder: str, radius: int = RADIUS, blocks: in
 
     first = keyed.mapInArrow(compare, "a long, b long, choice long, bits long, chunk long, chunks long")
     first.write.mode("overwrite").parquet(f"{folder}/buckets")
-    first = classes.sparkSession.read.schema(first.schema).parquet(f"{folder}/buckets")
+    first = spark.read.schema(first.schema).parquet(f"{folder}/buckets")
     links = first.where("chunks is null").select("a", "b")
-    large = first.where("chunks is not null")
+    large = first.where("chunks is not null").select(F.col("a").alias("fp"), F.col("choice").cast("int").alias("choice"), "bits", "chunk", "chunks")
     if large.isEmpty():
-        return links
-    pairs = large.select(F.col("a").alias("fp"), "choice", "bits", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+        if not any_large:
+            return links
+        large = dealt
+    elif any_large:
+        large = large.unionByName(dealt)
+    pairs = large.select("fp", "choice", "bits", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     pairs = pairs.select("fp", "choice", "bits", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    keys = ["choice", "bits", "low", "high"]
+    pair = [*keys, "low", "high"]
 
     def compare_chunks(batches):
-        for _, fps in _runs(batches, keys):
+        for _, fps in _runs(batches, pair):
             member, root = spanning_forest(fps, radius)
             yield pa.RecordBatch.from_arrays([pa.array(fps[member].view(np.int64)), pa.array(fps[root].view(np.int64))], names=["a", "b"])
 
-    return links.unionByName(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare_chunks, "a long, b long"))
+    return links.unionByName(pairs.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(compare_chunks, "a long, b long"))
 
 
 def _links(a: np.ndarray, b: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
@@ -229,17 +252,27 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     folder = work_dir(spark, "simhash")
     fingerprints(docs).write.parquet(f"{folder}/fingerprints")
     rows = spark.read.schema("doc_id long, fp long, text_hash long").parquet(f"{folder}/fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     roots = connected_components(near_links(classes.select("fp"), folder), folder)
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
     named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
     component = F.when(F.col("component_id").isNull(), F.col("least_id")).otherwise(F.col("component_id"))
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
-    # a table of its own, so that the join with a fingerprint that very many documents share can be split
+    named = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"), "n")
     named.write.parquet(f"{folder}/named")
     return rows, spark.read.schema(named.schema).parquet(f"{folder}/named")
 
 
+def with_components(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` joined with their fingerprints' components.
+
+    Fingerprints of very many rows are broadcast to them where they lie; the bound
+    on their rows grows with the table, so there are ``MOST_HEAVY`` of them at most.
+    """
+    least = max(HEAVY_ROWS, rows.count() // MOST_HEAVY)
+    heavy, light = F.broadcast(named.where(F.col("n") >= least)), named.where(F.col("n") < least)
+    return rows.join(heavy, "fp").unionByName(rows.join(heavy, "fp", "left_anti").join(light, "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links of at most 3 bits reach.
 
@@ -248,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (it is null where all ids are). No documents give no rows.
     """
     rows, named = components(docs)
-    return rows.select("doc_id", "fp").join(named.select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return with_components(rows.select("doc_id", "fp"), named.select("fp", "component_id", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
