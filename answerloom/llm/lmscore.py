@@ -1,7 +1,10 @@
 """Language-model scores by cross-entropy difference.
 
-Two interpolated bigram models over words, one of target documents and one of
-all documents. A token's loss under a model is -ln P(word | previous word); a
+Two bigram models over words, one of target documents and one of all documents,
+are matched: the same order, one vocabulary, and one interpolation of pair,
+word and uniform estimates whose weights do not depend on a model's size. A
+document's own counts are left out of every model it belongs to, so that no
+text scores itself. A token's loss under a model is -ln P(word | previous word); a
 document's score is the mean over its tokens of the target loss less the
 background loss, so that low scores are most like the target.
 
@@ -34,8 +37,8 @@ from .shared import open_fs, work_dir
 
 #: Words that the vocabulary of the uniform share has at least; with more distinct words in the corpus it has those.
 WORDS = 1 << 18
-#: Weight of the pair estimate, and what is added to each word's count.
-PAIR_WEIGHT, ADDED = 0.4, 0.1
+#: Weight of the pair estimate in all, and of the uniform one in the word estimate.
+PAIR_WEIGHT, UNIFORM_WEIGHT = 0.4, 0.05
 #: Bytes of text in a chunk (64 more for each document), and of the corpus for each part of the key range.
 CHUNK, PART = 1 << 22, 1 << 23
 _SPACE = np.zeros(256, bool)
@@ -62,9 +65,11 @@ def ngram_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return h | np.uint64(1), pair & ~np.uint64(1)
 
 
-def token_losses(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, total: float, vocabulary: float) -> np.ndarray:
-    """-ln P of each token by one model: ``words`` counts each token's word, ``pairs`` the pairs of the tokens that are not ``first`` in a text."""
-    single = (words + ADDED) / (total + ADDED * vocabulary)
+def token_losses(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, total: np.ndarray | float, vocabulary: float) -> np.ndarray:
+    """-ln P of each token by one model: ``words`` counts each token's word, ``pairs`` the pairs of the tokens that are not ``first`` in a text, ``total`` the model's tokens."""
+    total = np.broadcast_to(np.asarray(total, float), words.shape)
+    known = np.divide(words, total, out=np.full(len(words), 1.0 / vocabulary), where=total > 0)
+    single = (1 - UNIFORM_WEIGHT) * known + UNIFORM_WEIGHT / vocabulary
     context, pair = np.zeros(len(words)), np.zeros(len(words))
     later = np.flatnonzero(~first)
     context[later], pair[later] = words[later - 1], pairs
@@ -72,22 +77,33 @@ def token_losses(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, total:
     return -np.log(np.where(context > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single, single))
 
 
+def own_counts(places: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
+    """How often each row's (document, n-gram) occurs; places: the n-gram's number below ``size``."""
+    _, at, n = np.unique(docs * size + places, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 class Model(NamedTuple):
-    """All keys in order, and their counts: target and background."""
+    """All keys in order, their counts (target and background), the sums of the words' counts, and the vocabulary's size."""
 
     keys: np.ndarray
     counts: np.ndarray  # 2 x keys
+    totals: tuple[float, float]
+    vocabulary: int
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Model:
+        is_word = (keys & np.uint64(1)).astype(bool)
+        return cls(keys, counts, tuple(counts[:, is_word].sum(1).tolist()), max(WORDS, int(is_word.sum())))
 
     def losses(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The loss of each token under the target and under the background."""
+        """The loss of each token of a text that the models have not seen, under the target and under the background."""
         w, p = ngram_keys(text)
         known = np.append(self.keys, ~np.uint64(0))
         at = np.searchsorted(self.keys, np.concatenate([w, p]))
         counts = np.where(known[at] == np.concatenate([w, p]), np.append(self.counts, np.zeros((2, 1)), 1)[:, at], 0)
-        is_word = (self.keys & np.uint64(1)).astype(bool)
-        vocabulary = max(WORDS, int(is_word.sum()))
         first = np.arange(len(w)) == 0
-        target, background = (token_losses(c[: len(w)], c[len(w) :], first, float(own[is_word].sum()), vocabulary) for c, own in zip(counts, self.counts))
+        target, background = (token_losses(c[: len(w)], c[len(w) :], first, total, self.vocabulary) for c, total in zip(counts, self.totals))
         return target, background
 
 
@@ -225,11 +241,11 @@ def load_model(path: str) -> Model:
     fs, at = open_fs(path)
     found = pq.read_table(at, filesystem=fs, columns=["part", "data"]).sort_by("part").column("data").to_pylist()
     parts = [_unpack_keys(x) for x in found] or [(np.zeros(0, np.uint64), np.zeros((2, 0)))]
-    return Model(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts], 1).astype(float))
+    return Model.of(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts], 1).astype(float))
 
 
 def score_chunk(documents: pa.Table, answers: list[bytes], totals: tuple[float, float], vocabulary: int) -> pa.RecordBatch:
-    """The scores of a chunk's documents from the answers to it, in the order of the parts."""
+    """The scores of a chunk's documents from the answers to it, in the order of the parts; each without its own counts."""
     keys = [ngram_keys(t.as_py()) for t in documents.column("text")]
     n = np.array([len(w) for w, _ in keys])
     every, at = np.unique(np.concatenate([w for w, _ in keys] + [p for _, p in keys]), return_inverse=True)
@@ -241,9 +257,14 @@ def score_chunk(documents: pa.Table, answers: list[bytes], totals: tuple[float,
     first = np.zeros(int(n.sum()), bool)
     first[starts] = True
     means = np.zeros((2, len(n)))
-    for k in (0, 1):
-        if len(some):
-            loss = token_losses(counts[k][at[: len(first)]], counts[k][at[len(first) :]], first, totals[k], vocabulary)
+    if len(some):
+        doc = np.repeat(np.arange(len(n)), n)
+        both = np.concatenate([doc, doc[~first]])
+        own = own_counts(at, both, len(every))
+        target = documents.column("is_target").to_numpy()
+        for k, belongs in enumerate((target, np.ones(len(n), bool))):
+            left = counts[k][at] - own * belongs[both]
+            loss = token_losses(left[: len(first)], left[len(first) :], first, totals[k] - (n * belongs)[doc], vocabulary)
             means[k, some] = np.add.reduceat(loss, starts) / n[some]
     names = ["doc_id", "n_tokens", "target_loss", "background_loss", "cross_entropy_difference"]
     return pa.RecordBatch.from_arrays([documents.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), *map(pa.array, (*means, means[0] - means[1]))], names=names)
@@ -276,8 +297,10 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores every document against the documents that ``labels`` (doc_id, quality, toxic) calls good: quality 1 and not toxic.
 
     Null texts and texts without words have no tokens and score 0; without any
-    good document the target model is uniform. Several label rows of a document
-    count once: it is a target if any of them says so.
+    other good document the target model is uniform. Several label rows of a document
+    count once: it is a target if any of them says so. Repeated rows are documents of
+    their own, each of which is a trace of the other; equal rows have equal scores.
+    Other columns of both tables do not matter.
     """
     folder = work_dir(docs.sparkSession, "lmscore")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct().withColumn("is_target", F.lit(True))
@@ -292,5 +315,8 @@ BROADCAST_IDS = 200_000
 def mark_targets(docs: DataFrame, good: DataFrame) -> DataFrame:
     """doc_id, text and is_target. A small set of ids is broadcast; beyond ``BROADCAST_IDS`` the texts are joined by id."""
     few = good.count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(good) if few else good, "doc_id", "left")
+    known = docs.where("doc_id is not null")
+    joined = known.join(F.broadcast(good) if few else good, "doc_id", "left")
+    # rows without an id are no targets, and stay where they are
+    joined = joined.unionByName(docs.where("doc_id is null").withColumn("is_target", F.lit(False)))
     return joined.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target"))

@@ -78,24 +78,61 @@ def test_word_hashes_depend_on_the_word_only():
     assert len(lmscore.word_hashes(b" \t ")) == 0
 
 
-def test_losses_are_those_of_plain_counts(spark):
-    texts = [("a b a b c", True), ("b b a", False), (None, False), ("", True), ("c c c c a", False)]
-    model = lmscore.load_model(lmscore.train(spark.createDataFrame(texts, "text string, is_target boolean"), lmscore.work_dir(spark, "lm")))
+def plain_scores(rows, good, vocabulary):
+    """rows: (doc_id, text); the mean losses of each by plain counters, its own text left out."""
     words, pairs = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
-    for text, target in texts:
-        w = (text or "").split()
-        for k in (0, 1) if target else (1,):
+    for doc_id, text in rows:
+        w = (text or "").lower().split()
+        for k in (0, 1) if doc_id in good else (1,):
             words[k].update(w)
-            pairs[k].update(zip([None, *w], w))
-    for text in ("a b c", "c c a", "a"):
-        w, got = text.split(), model.losses(text)
+            pairs[k].update(zip(w, w[1:]))
+    out = []
+    for doc_id, text in rows:
+        w, means = (text or "").lower().split(), []
         for k in (0, 1):
-            n = sum(words[k].values())
+            mine = doc_id in good or k == 1
+            word = words[k] - (collections.Counter(w) if mine else collections.Counter())
+            pair = pairs[k] - (collections.Counter(zip(w, w[1:])) if mine else collections.Counter())
+            total, loss = sum(word.values()), []
             for i, x in enumerate(w):
-                single = (words[k][x] + lmscore.ADDED) / (n + lmscore.ADDED * lmscore.WORDS)
-                context = words[k][w[i - 1]] if i else 0
-                p = lmscore.PAIR_WEIGHT * min(pairs[k][w[i - 1], x], context) / context + (1 - lmscore.PAIR_WEIGHT) * single if context else single
-                assert got[k][i] == pytest.approx(-math.log(p), rel=1e-4)
+                single = (1 - lmscore.UNIFORM_WEIGHT) * (word[x] / total if total else 1 / vocabulary) + lmscore.UNIFORM_WEIGHT / vocabulary
+                context = word[w[i - 1]] if i else 0
+                p = lmscore.PAIR_WEIGHT * pair[w[i - 1], x] / context + (1 - lmscore.PAIR_WEIGHT) * single if context else single
+                loss.append(-math.log(p))
+            means.append(sum(loss) / len(loss) if loss else 0.0)
+        out.append((doc_id, len(w), means[0], means[1], means[0] - means[1]))
+    return out
+
+
+def test_scores_are_those_of_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "CHUNK", 300)
+    monkeypatch.setattr(lmscore, "PART", 300)
+    monkeypatch.setattr(lmscore, "WORDS", 16)
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 40)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "alone Words here"), (103, rows[3][1]), (4, rows[4][1]), (None, "w1 w2 w1 w2")]
+    good = {3, 4, 5, 6, 7, 102}
+    labels = spark.createDataFrame([(k, 1, 0, "x") for k in good] + [(None, 1, 0, "x"), (9, 1, 1, "x"), (4, 0, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, is_target string")
+    n_words = len({w for _, t in rows for w in (t or "").lower().split()})
+    for broadcast in (200_000, 0):
+        monkeypatch.setattr(lmscore, "BROADCAST_IDS", broadcast)
+        got = sorted(map(tuple, lmscore.cross_entropy_difference(docs.repartition(3), labels).collect()), key=str)
+        want = sorted(plain_scores(rows, good, n_words), key=str)
+        assert len(got) == len(want)
+        for a, b in zip(sorted(got, key=lambda r: (str(r[0]), r[1], round(r[4], 9))), sorted(want, key=lambda r: (str(r[0]), r[1], round(r[4], 9)))):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9, abs=1e-12)
+
+
+def test_models_score_unseen_texts(spark):
+    texts = [("a b a b c", True), ("b b a", False), (None, False), ("", True), ("c c c c a", False)]
+    model = lmscore.load_model(lmscore.train(spark.createDataFrame(texts, "text string, is_target boolean"), lmscore.work_dir(spark, "lm")))
+    assert model.totals == (5.0, 13.0) and model.vocabulary == lmscore.WORDS
+    target, background = model.losses("a b")
+    u, v = lmscore.UNIFORM_WEIGHT, lmscore.WORDS
+    single = (1 - u) * 2 / 5 + u / v
+    assert target.tolist() == pytest.approx([-math.log(single), -math.log(lmscore.PAIR_WEIGHT * 1.0 + (1 - lmscore.PAIR_WEIGHT) * single)])
+    assert len(background) == 2 and model.losses(None)[0].tolist() == []
 
 
 def test_no_ngrams_share_a_count(spark, monkeypatch):
@@ -108,15 +145,11 @@ def test_no_ngrams_share_a_count(spark, monkeypatch):
     for r in lmscore.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect():
         got[r.doc_id].append(r)
     assert collections.Counter(k for k, _ in rows) == {k: len(v) for k, v in got.items()}
-    n, v, add, weight = 300_008, 300_000, lmscore.ADDED, lmscore.PAIR_WEIGHT
-    alone = (1 + add) / (n + add * v)
-    # every word of document 7 occurs once, always after the same word
-    want = (-math.log(alone) - 999 * math.log(weight + (1 - weight) * alone)) / 1000
-    assert got[7][0].n_tokens == 1000 and got[7][0].background_loss == pytest.approx(want, rel=1e-12)
-    assert got[7][0].target_loss == pytest.approx(-math.log(add / (4 + add * v)), rel=1e-12)
-    p = [(3 + add) / (n + add * v)] * 2
-    want = (-math.log(p[0]) - math.log(weight * 2 / 3 + (1 - weight) * p[1])) / 2
-    assert [r.background_loss for r in got[1001]] == pytest.approx([want] * 2, rel=1e-12)
+    want = {k: (t, b) for k, _, t, b, _ in plain_scores([r for r in rows if r[0] in (1000, 1001)] + [(0, rows[0][1])], {1000}, 300_000)}
+    # words that occur once in all are unseen without their own document
+    assert got[7][0].n_tokens == 1000 and got[7][0].background_loss == pytest.approx(-math.log(lmscore.UNIFORM_WEIGHT / 300_000), rel=1e-12)
+    assert got[1000][0].target_loss == pytest.approx(want[1000][0], rel=1e-12)
+    assert got[0][0].target_loss == pytest.approx(want[0][0], rel=1e-12)
 
 
 def test_target_like_documents_score_lower(docs, spark):
