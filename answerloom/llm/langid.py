@@ -25,9 +25,10 @@ from .shared import atomic_output, open_input, save_counts, sum_counts, work_dir
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled documents that the classifier is fitted on, at most.
-SAMPLE = 4000
-MOST_LANGUAGES = 1000
+#: Labelled documents that the classifier is fitted on, at most, and n-gram buckets of each (the most frequent, ties to the lower).
+SAMPLE, SAMPLE_BUCKETS = 4000, 4096
+#: Languages that are learned, at most: those of most rows, ties by name. Rows of others are not fitted on.
+MOST_LANGUAGES = 256
 #: A distinct text's rank, by which samples are picked, is a hash below this.
 RANKS = 1 << 62
 EPOCHS = 4
@@ -144,13 +145,17 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n_doc
 
 
 def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
-    """Fits on ``docs`` (text, lang); rows without a text or language are left out."""
+    """Fits on ``docs`` (text, lang); rows without a text or language are left out.
+
+    Copies of a text with one language are one sample, whichever rows they stand
+    in; which texts are samples is decided by a hash, so ties and order play no part.
+    The driver holds the samples (``SAMPLE`` times ``SAMPLE_BUCKETS`` pairs of numbers
+    at most) and three numbers for each bucket and language.
+    """
     spark = docs.sparkSession
     docs = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.withColumn("rank", F.pmod(F.xxhash64("text", "lang"), F.lit(RANKS)))
-    found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.col("text") != "", F.col("rank"))).alias("texts")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.col("text") != "", F.col("rank"))).alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not found:
         return fit([], np.zeros(BUCKETS), 0)
     each = max(1, sample // len(found))
@@ -162,15 +167,15 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
     exact = {lang: sorted(own)[:each][-1] + 1 for lang, own in ranks.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, some = np.zeros(BUCKETS, np.int64), False
+        df, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            some |= batch.num_rows > 0
+            n += batch.num_rows
             for text in batch.column("text"):
                 df[np.flatnonzero(np.bincount(ngram_buckets(text.as_py()), minlength=BUCKETS))] += 1
-        if some:
+        if n:
             path = f"{folder}/df-{TaskContext.get().partitionId():07d}"
             save_counts(path, df)
-            yield pa.RecordBatch.from_pydict({"path": [path]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "n": [n]})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,15 +184,18 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> Model:
                 h = ngram_buckets(text.as_py())
                 n = np.bincount(h, minlength=BUCKETS)
                 at = np.flatnonzero(n)
+                if len(at) > SAMPLE_BUCKETS:
+                    at = np.sort(at[np.argsort(-n[at], kind="stable")[:SAMPLE_BUCKETS]])
                 rows.append((lang, rank, at.astype("<i4").tobytes(), (n[at] / len(h)).astype("<f4").tobytes()))
             if rows:
                 yield _sample_batch(rows)
 
-    df = sum_counts(spark, sorted(r.path for r in docs.select("text").mapInArrow(count, "path string").collect()), folder)
+    counted = docs.select("text").mapInArrow(count, "path string, n long").collect()
+    df = sum_counts(spark, sorted(r.path for r in counted), folder)
     # copies of a text are one sample
     samples = _below(docs, exact).select("lang", "rank", "text").distinct().mapInArrow(frequencies, "lang string, rank long, at binary, f binary").collect() if exact else []
     rows = [(r.lang, np.frombuffer(bytes(r.at), "<i4"), np.frombuffer(bytes(r.f), "<f4")) for r in sorted(samples, key=lambda r: (r["rank"], r.lang))]
-    return fit(rows, df, sum(r.n for r in found))
+    return fit(rows, df, sum(r.n for r in counted))
 
 
 def _below(docs: DataFrame, bounds: dict[str, int]) -> DataFrame:
@@ -228,7 +236,12 @@ def trained_model(docs: DataFrame) -> str:
 
 
 def predict(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document (doc_id, text); only the text enters a prediction."""
+    """doc_id, held_out, lang_pred and score of every document (doc_id, text); only the text enters a prediction.
+
+    Equal texts have equal predictions; a tie goes to the language first by name. A
+    null text, one without a letter, and any text where no language was learned gives
+    ``UNKNOWN`` and 0. A null id is not held out. Other columns do not matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -72,6 +73,102 @@ def test_ftrl_is_sparse_and_calibrated():
     assert langid.best_temperature(logits, y) == pytest.approx(2.0, rel=0.4)
 
 
+def plain_fit(train, back, df, n_docs):
+    """FTRL-proximal with elastic net in plain Python; train, back: (language, text)."""
+    names = sorted({y for y, _ in train + back})
+    k = len(names)
+    idf = {b: math.log((1 + n_docs) / (1 + df[b])) + 1 for b in df}
+    z, n = collections.defaultdict(lambda: [0.0] * k), collections.defaultdict(lambda: [0.0] * k)
+    zb, nb = [0.0] * k, [0.0] * k
+
+    def weight(zv, nv, l1, l2):
+        return 0.0 if abs(zv) <= l1 else -(zv - math.copysign(l1, zv)) / ((langid.BETA + math.sqrt(nv)) / langid.ALPHA + l2)
+
+    def features(text):
+        count = collections.Counter(langid.ngram_buckets(text).tolist())
+        total = sum(count.values())
+        return {b: float(np.float32(c / total)) * idf[b] * langid.SCALE for b, c in count.items()}
+
+    def logits(x):
+        return [sum(v * weight(z[b][j], n[b][j], langid.L1, langid.L2) for b, v in x.items()) + weight(zb[j], nb[j], 0.0, 0.0) for j in range(k)]
+
+    def probabilities(v):
+        top = max(v)
+        e = [math.exp(x - top) for x in v]
+        return [x / sum(e) for x in e]
+
+    for _ in range(langid.EPOCHS):
+        for y, text in train:
+            x = features(text)
+            p = probabilities(logits(x))
+            old = {b: [weight(z[b][j], n[b][j], langid.L1, langid.L2) for j in range(k)] for b in x}
+            bias = [weight(zb[j], nb[j], 0.0, 0.0) for j in range(k)]
+            for j in range(k):
+                e = p[j] - (names[j] == y)
+                for b, v in x.items():
+                    g = v * e
+                    z[b][j] += g - (math.sqrt(n[b][j] + g * g) - math.sqrt(n[b][j])) / langid.ALPHA * old[b][j]
+                    n[b][j] += g * g
+                zb[j] += e - (math.sqrt(nb[j] + e * e) - math.sqrt(nb[j])) / langid.ALPHA * bias[j]
+                nb[j] += e * e
+    return names, logits, features, probabilities
+
+
+def test_model_is_that_of_plain_code(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(60):
+        lang = ("en", "fr", "de")[k % 3]
+        words = {"en": "the quick brown fox and dog", "fr": "le renard brun et le chien", "de": "der schnelle braune fuchs"}[lang].split()
+        rows.append((k, " ".join(rng.choice(words, 6)) + f" {k}", lang))
+    docs = spark.createDataFrame([(*r, "clash", 0.5, "x") for r in rows], "doc_id long, text string, lang string, lang_pred string, score double, held_out string")
+    path = langid.trained_model(docs)
+    own = [(lang, text) for k, text, lang in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    model = langid.load_model(path)
+    # the order of samples is that of a hash; it comes from the table itself
+    from pyspark.sql import functions as F
+
+    ranked = spark.createDataFrame(own, "lang string, text string").withColumn("rank", F.pmod(F.xxhash64("text", "lang"), F.lit(langid.RANKS))).orderBy("rank", "lang").collect()
+    each = langid.SAMPLE // 3
+    assert len(own) < each
+    ordered = [(r.lang, r.text) for r in ranked]
+    back = ordered[::5] if len(ordered) >= 50 else []
+    train = [s for k, s in enumerate(ordered) if k % 5 or not back]
+    df = collections.Counter(b for _, t in own for b in set(langid.ngram_buckets(t).tolist()))
+    names, logits, features, probabilities = plain_fit(train, back, df, len(own))
+    assert model.languages == names
+    got = {r.doc_id: r for r in langid.predict(docs, path).collect()}
+    for k, text, _ in rows[:20]:
+        x = {b: v for b, v in features(text).items()} if set(langid.ngram_buckets(text).tolist()) <= set(df) else None
+        if x is None:
+            continue
+        p = probabilities([v / model.temperature for v in logits(x)])
+        assert got[k].lang_pred == names[p.index(max(p))] and got[k].score == pytest.approx(max(p), abs=2e-4)
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+
+
+def test_ngram_buckets_count_every_ngram():
+    def bucket(gram):
+        key = 0
+        for c in gram:
+            key = (key << 21) | ord(c)
+        return (((key + (len(gram) << 56)) * 0x9E3779B97F4A7C15) % 2**64) >> 48
+
+    text = "Aé日😀 b"
+    low = text.lower()
+    want = collections.Counter(bucket(low[i : i + n]) for n in (1, 2, 3) for i in range(len(low) - n + 1))
+    assert collections.Counter(langid.ngram_buckets(text).tolist()) == want
+
+
+def test_rare_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    monkeypatch.setattr(langid, "SAMPLE_BUCKETS", 5)
+    rows = [("some words of text" + str(k), "en") for k in range(9)] + [("quelques mots" + str(k), "fr") for k in range(5)] + [("ein wort", "de"), ("", "xx"), (None, "yy")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(df, langid.work_dir(spark, "few"))
+    assert model.languages == ["en", "fr"]
+
+
 def test_word_hashes_depend_on_the_word_only():
     h = lmscore.word_hashes(b" the cat  the\ndog the")
     assert len(h) == 5 and h[0] == h[2] == h[4] and len(set(h.tolist())) == 3
