@@ -4,7 +4,7 @@ A payload becomes an 8-bit grey image 576 samples wide. Its rows get either no
 filter or each the one (none, sub or up) with the least sum of absolute
 differences, whichever deflates better. The reader checks the CRC of every
 chunk and the stream's own checksum, and undoes all five filters of the format
-with numpy. The feature is a 64-bit hash: the samples are laid out as nearly
+with numpy, average and Paeth along diagonals (the writer has no use for these two). The feature is a 64-bit hash: the samples are laid out as nearly
 square as ``WIDTHS`` allow and reduced to 32 x 32 means, their cosine transform
 is taken, and each of the 64 lowest frequencies but the first gives a bit,
 above the median or not.
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import work_dir
+from .tokens import groups
 
 UNIT = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -85,6 +86,32 @@ def chunks_of(png: bytes) -> Iterator[tuple[bytes, bytes]]:
     raise ValueError("no IEND chunk")
 
 
+def _undo_diagonally(kind: int, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Undoes the average (3) or Paeth (4) filter of a run of rows.
+
+    A sample needs those left of it, above it and, for Paeth, between the two, all of
+    which lie on earlier diagonals; so a whole diagonal goes at once. The work
+    array has a row above and a column to the left.
+    """
+    height, width = lines.shape
+    work = np.zeros((height + 1, width + 1), np.int16)
+    work[0, 1:] = above
+    flat, step = work.ravel(), width + 1
+    given = lines.astype(np.int16).ravel()
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        at = (r + 1) * step + (d - r) + 1
+        left, up = flat[at - 1], flat[at - step]
+        if kind == 3:
+            guess = (left + up) >> 1
+        else:
+            corner = flat[at - step - 1]
+            da, db, dc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        flat[at] = (given[r * width + d - r] + guess) & 255
+    return work[1:, 1:].astype(np.uint8)
+
+
 def unfilter(kind: np.ndarray, lines: np.ndarray) -> np.ndarray:
     """Undoes PNG's row filters for one byte a sample; runs of rows of like kind go together where their filter allows it."""
     height, width = lines.shape
@@ -100,18 +127,7 @@ def unfilter(kind: np.ndarray, lines: np.ndarray) -> np.ndarray:
         elif k == 2:
             out[a:b] = np.cumsum(own, axis=0, dtype=np.uint8) + above
         elif k in (3, 4):
-            for r in range(a, b):
-                up, now, left, corner = above.tolist(), lines[r].tolist(), 0, 0
-                for x in range(width):
-                    if k == 3:
-                        guess = (left + up[x]) >> 1
-                    else:
-                        base = left + up[x] - corner
-                        da, db, dc = abs(base - left), abs(base - up[x]), abs(base - corner)
-                        guess = left if da <= db and da <= dc else up[x] if db <= dc else corner
-                        corner = up[x]
-                    now[x] = left = (now[x] + guess) & 255
-                out[r] = above = np.array(now, np.uint8)
+            out[a:b] = _undo_diagonally(k, own, above)
         else:
             raise ValueError(f"filter {k} is not known")
         above = out[b - 1]
@@ -162,8 +178,8 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for a, b in groups(batch.column(1), 4_000_000):
+                part = batch.slice(a, b - a)
                 n, media = [], []
                 for t in part.column(1):
                     data, size = payload_of(t.as_py())
@@ -198,7 +214,9 @@ def media_features(media: DataFrame) -> DataFrame:
 def stored_media_features(docs: DataFrame) -> DataFrame:
     """Stores the media column of ``docs`` (doc_id, text) as a table in the shared folder and computes features of what is read back.
 
-    Nulls count as empty texts, repeated rows stay, an empty table gives no rows.
+    Nulls count as empty texts, repeated rows stay, equal texts have equal values, an
+    empty table gives no rows; other columns do not matter. ``hash`` is the binary
+    column, ``feature`` the same in hexadecimal digits.
     """
     spark = docs.sparkSession
     folder = work_dir(spark, "media")

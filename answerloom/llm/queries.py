@@ -33,7 +33,7 @@ def op2_warc_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_png_media_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored_media_features(table(spark, sf_dir, "documents")).drop("hash")
+    return media.stored_media_features(table(spark, sf_dir, "documents"))
 
 
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
