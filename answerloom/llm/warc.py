@@ -18,6 +18,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 from urllib.parse import quote
 
@@ -68,15 +69,17 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def inflated(f) -> Iterator[bytes]:
-    """The contents of a gzip file of one or more members, in pieces; a file that ends early raises ValueError."""
+    """The contents of a gzip file of one or more members, in pieces of at most ``_BUFFER`` bytes; a file that ends early raises ValueError."""
     z, started = zlib.decompressobj(31), False
     while data := f.read(_BUFFER):
         while data:
             if z.eof:
                 z, started = zlib.decompressobj(31), False
             started = True
-            yield z.decompress(data)
-            data = z.unused_data
+            yield z.decompress(data, _BUFFER)
+            data = z.unconsumed_tail or z.unused_data
+    while started and not z.eof and (piece := z.decompress(b"", _BUFFER)):
+        yield piece
     if started and not z.eof:
         raise ValueError("the gzip stream ends early")
 
@@ -161,7 +164,23 @@ def read_records(path: str) -> Iterator[Record]:
 def equal_payloads(pages: DataFrame) -> DataFrame:
     """(digest, response_id) of payloads that several pages share."""
     groups = pages.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("response_id"))
-    return groups.where("n > 1 and response_id is not null").select("digest", "response_id")
+    return groups.where("n > 1 and response_id is not null").select("digest", "response_id", "n")
+
+
+def with_responses(rows: DataFrame, equal: DataFrame, most: int = BROADCAST_GROUPS) -> DataFrame:
+    """``rows`` with the response_id of their payload's group, if there is one.
+
+    Up to ``most`` groups are broadcast. Beyond, the largest are, so that no key of the
+    join has many rows; payloads that are too short to match take no part in it.
+    """
+    if equal.count() <= most:
+        return rows.join(F.broadcast(equal.drop("n")), "digest", "left")
+    # groups of so many rows: there are ``most`` at most
+    least = equal.agg(F.sum("n")).first()[0] // most + 1
+    large = F.broadcast(equal.where(F.col("n") >= least).drop("n"))
+    long = rows.where(F.col("size") >= REVISIT_BYTES)
+    out = long.join(large, "digest").unionByName(long.join(large, "digest", "left_anti").join(equal.where(F.col("n") < least).drop("n"), "digest", "left"))
+    return out.unionByName(rows.where(F.col("size") < REVISIT_BYTES).withColumn("response_id", F.lit(None).cast("long")))
 
 
 def write_monolithic(pages: DataFrame, folder: str) -> list[str]:
@@ -171,25 +190,25 @@ def write_monolithic(pages: DataFrame, folder: str) -> list[str]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, size, out, names = TaskContext.get().partitionId(), 0, 0, None, []
-        for batch in batches:
-            for page_id, url, payload, digest, response_id in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "response_id"))):
-                if out is None:
-                    names.append(f"{folder}/pages-{part:07d}-{k:04d}.warc.gz")
-                    out = atomic_output(names[-1])
-                    f, z, size, k = out.__enter__(), zlib.compressobj(6, zlib.DEFLATED, 31), 0, k + 1
-                data = record_bytes(page_id.as_py(), url.as_py(), payload.as_py(), digest.as_py(), response_id.as_py())
-                f.write(z.compress(data))
-                size += len(data)
-                if size >= ARCHIVE_BYTES:
-                    f.write(z.flush())
-                    out.__exit__(None, None, None)
-                    out = None
-        if out is not None:
-            f.write(z.flush())
-            out.__exit__(None, None, None)
+        part, names, every = TaskContext.get().partitionId(), [], rows_of(batches)
+        for first in every:
+            names.append(f"{folder}/pages-{part:07d}-{len(names):04d}.warc.gz")
+            with atomic_output(names[-1]) as f:
+                z, size = zlib.compressobj(6, zlib.DEFLATED, 31), 0
+                for row in chain([first], every):
+                    data = record_bytes(*row)
+                    f.write(z.compress(data))
+                    size += len(data)
+                    if size >= ARCHIVE_BYTES:
+                        break
+                f.write(z.flush())
         yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
 
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "response_id"))):
+                yield tuple(x.as_py() for x in row)
+
     return sorted(r.path for r in pages.mapInArrow(run, "path string").collect())
 
 
@@ -205,9 +224,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> list[str]:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     equal_payloads(rows.select("page_id", "digest", "size")).write.parquet(f"{folder}/equal")
-    equal = spark.read.schema("digest string, response_id long").parquet(f"{folder}/equal")
-    few = equal.count() <= BROADCAST_GROUPS
-    rows = rows.join(F.broadcast(equal) if few else equal, "digest", "left")
+    rows = with_responses(rows, spark.read.schema("digest string, response_id long, n long").parquet(f"{folder}/equal"))
     rows = rows.withColumn("response_id", F.when((F.col("size") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id")))
     sources = write_monolithic(rows.select("page_id", "url", "payload", "digest", "response_id"), folder)
     targets = [s.replace("/pages-", "/records-") for s in sources]

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -13,7 +14,10 @@ HTML = "<html>" + "x" * 200 + "</html>"
 PAGES = [(5, "http://a/ b?c=é", HTML, 1), (3, None, HTML, 1), (9, "http://c\r\nX: y", HTML, 1), (1, "http://d", "short", 1), (2, "http://e", "short", 1), (4, "http://f", None, 1), (6, "http://g", "", 1), (7, "http://h", "日本" * 60, 1), (8, "http://i", "日本" * 60, 1), (None, "http://j", HTML, 1), (7, "http://h", "日本" * 60, 1), (10, "u", "big " * 300_000, 1)]
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("most", [100_000, 2, 1])
+def test_archives(spark, monkeypatch, most):
+    monkeypatch.setattr(warc.with_responses, "__defaults__", (most,))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, digest long")
     got = sorted((tuple(r) for r in warc.read_archives(spark, warc.archive_pages(pages)).collect()), key=str)
     want = []
@@ -47,6 +51,20 @@ def test_normaliser_makes_members(tmp_path):
         list(warc.raw_records(iter([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc"])))
 
 
+def test_inflating_holds_little_and_a_failed_file_leaves_nothing(tmp_path, spark):
+    (tmp_path / "bomb.gz").write_bytes(gzip.compress(b"0" * 50_000_000) + gzip.compress(b"1" * 10))
+    with open(tmp_path / "bomb.gz", "rb") as f:
+        sizes = [len(p) for p in warc.inflated(f)]
+    assert sum(sizes) == 50_000_010 and max(sizes) <= 1 << 20
+    folder = warc.work_dir(spark, "broken")
+    rows = spark.createDataFrame([(1, "u", bytearray(b"x"), "d", None), (2, "u", None, "d", None)], "page_id long, url string, payload binary, digest string, response_id long").coalesce(1)
+    with pytest.raises(Exception):
+        warc.write_monolithic(rows, folder)
+    import os
+
+    assert os.listdir(folder.removeprefix("file:")) == []
+
+
 def filtered(image, kinds):
     h, w = image.shape
     out = np.zeros((h, w), np.uint8)
@@ -68,6 +86,31 @@ def test_all_filters():
         media.unfilter(np.array([5]), np.zeros((1, 2), np.uint8))
 
 
+def plain_hash(payload):
+    """The cosine hash by loops: means of a 32 x 32 grid, the transform's double sum, bits against the median."""
+    width = max(w for w in media.WIDTHS if w == 24 or w * w <= len(payload))
+    rows = [payload[k : k + width] for k in range(0, len(payload), width)]
+
+    def spans(n):
+        return [range(k * n // 32, (k + 1) * n // 32) if n >= 32 else [k * n // 32] for k in range(32)]
+
+    # columns first, then rows, as means of means
+    by_column = [[sum(r[x] for x in s) / len(s) for s in spans(width)] for r in rows]
+    grid = [[sum(by_column[y][x] for y in s) / len(s) for x in range(32)] for s in spans(len(rows))]
+    cos = [[math.cos(math.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)]
+    freq = [round(sum(grid[y][x] * cos[u][y] * cos[v][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(freq[1:])[31]
+    bits = [0] + [int(f > middle) for f in freq[1:]]
+    return bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, 64, 8)).hex()
+
+
+@pytest.mark.parametrize("text", ["", "a", "é" * 288, "the quick brown fox " * 40, "x" * 577 + "y" * 3000, "abc\n" * 9000])
+def test_hashes_are_those_of_plain_sums(text):
+    payload, _ = media.payload_of(text)
+    image = np.frombuffer(payload, np.uint8).reshape(-1, media.UNIT)
+    assert media.low_frequency_hash(media.squared(image)).hex() == plain_hash(payload)
+
+
 def test_png_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for shape in ((1, 1), (3, 576), (50, 7)):
