@@ -8,6 +8,7 @@ executor was lost writes the same file once more.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a new local one only where none is set."""
+    """The session's checkpoint folder; a new local one only where none is set and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = now.get() if now.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="answerloom-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -90,13 +93,32 @@ def delete(uri: str) -> None:
         fs.delete_file(path)
 
 
+#: Entries that a task's closure carries at most; longer lists stand in files of so many, of which a task reads one.
+CLOSURE_ENTRIES = 1000
+
+
 def over_files(spark: SparkSession, entries: list, fn: Callable[[object], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """One task for each entry of a driver list (of files, never of rows): the batches that ``fn(entry)`` gives."""
+    parts = [entries[k : k + CLOSURE_ENTRIES] for k in range(0, len(entries), CLOSURE_ENTRIES)]
+    folder = None
+    if len(parts) > 1:
+        folder = work_dir(spark, "entries")
+        for k, part in enumerate(parts):
+            with atomic_output(f"{folder}/{k:07d}") as f:
+                f.write(pickle.dumps(part))
+        parts = []
+
+    def entry(k: int):
+        part, at = divmod(k, CLOSURE_ENTRIES)
+        if folder is None:
+            return parts[part][at]
+        with open_input(f"{folder}/{part:07d}") as f:
+            return pickle.loads(f.read())[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                yield from fn(entries[k])
+                yield from fn(entry(k))
 
     n = max(1, len(entries))
     return spark.range(0, len(entries), 1, n).mapInArrow(run, schema)

@@ -1,8 +1,9 @@
-"""Token ids of whole texts, kept between two passes as one compressed Arrow stream for each task."""
+"""Token ids of whole texts, kept between two passes as compressed Arrow streams of bounded size."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +18,10 @@ from .tokens import encoder, groups
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.large_binary())])
 
 
+#: Ids after which a task starts another file (at the end of a group of texts).
+FILE_TOKENS = 8_000_000
+
+
 class Part(NamedTuple):
     number: int
     path: str
@@ -51,7 +56,7 @@ def add_document_counts(counts: np.ndarray, ids: np.ndarray, n: np.ndarray) -> N
 
 
 def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat: str, ordered: bool, keep: int = 600_000) -> Spool:
-    """Encodes ``docs`` (doc_id, text) and writes one file for each task that has rows.
+    """Encodes ``docs`` (doc_id, text) and writes files of about ``FILE_TOKENS`` ids, numbered in their order.
 
     stat: "tokens" counts how often each id occurs, "docs" in how many documents.
     ordered: files follow each other by ascending doc_id (nulls first), and so do
@@ -63,39 +68,46 @@ def spool_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, stat
     if ordered:
         order = ["doc_id", "tie"]
         docs = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).select("doc_id", "text")
+    most = FILE_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer, keep)
         dtype = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
         size = max(enc.size, end_id + 1)
-        first = next(batches, None)
-        if first is None:
-            return
-        counts, n_docs, n_tokens, path = np.zeros(size, np.int64), 0, 0, f"{folder}/spool-{part:07d}"
-
-        def every():
-            yield first
-            yield from batches
+        counts = np.zeros(size, np.int64)
 
-        with atomic_output(path) as f, pa.ipc.new_stream(f, SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for batch in every():
+        def encoded() -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+            for batch in batches:
                 for a, b in groups(batch.column("text"), 3_000_000):
                     ids, n = with_end(*enc.encode(batch.column("text").slice(a, b - a)), end_id)
                     if stat == "tokens":
-                        counts += np.bincount(ids, minlength=size)
+                        counts[:] += np.bincount(ids, minlength=size)
                     else:
                         add_document_counts(counts, ids, n)
                     small = ids.astype(dtype)
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * small.itemsize
                     column = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(small)])
-                    out.write_batch(pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), column], schema=SCHEMA))
-                    n_docs, n_tokens = n_docs + b - a, n_tokens + len(ids)
-        save_counts(f"{path}.counts", counts)
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [n_docs], "tokens": [n_tokens], "dtype": [dtype]})
-
-    rows = sorted(docs.mapInArrow(run, "part long, path string, docs long, tokens long, dtype string").collect())
-    parts = [Part(r.part, r.path, r.docs, r.tokens) for r in rows]
-    total = sum_counts(docs.sparkSession, [f"{p.path}.counts" for p in parts], folder) if parts else np.zeros(0, np.int64)
+                    yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), column], schema=SCHEMA), len(ids)
+
+        every, rows = encoded(), []
+        for first in every:
+            path, n_docs, n_tokens = f"{folder}/spool-{part:07d}-{len(rows):05d}", 0, 0
+            with atomic_output(path) as f, pa.ipc.new_stream(f, SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch, tokens in chain([first], every):
+                    out.write_batch(batch)
+                    n_docs, n_tokens = n_docs + batch.num_rows, n_tokens + tokens
+                    if n_tokens >= most:
+                        break
+            rows.append((path, n_docs, n_tokens))
+        if rows:
+            save_counts(f"{folder}/counts-{part:07d}", counts)
+            path, docs_in, tokens_in = (list(c) for c in zip(*rows))
+            yield pa.RecordBatch.from_pydict({"part": [part] * len(rows), "path": path, "docs": docs_in, "tokens": tokens_in, "dtype": [dtype] * len(rows)})
+
+    rows = sorted(docs.mapInArrow(run, "part long, path string, docs long, tokens long, dtype string").collect(), key=lambda r: (r.part, r.path))
+    parts = [Part(k, r.path, r.docs, r.tokens) for k, r in enumerate(rows)]
+    counted = sorted({r.part for r in rows})
+    total = sum_counts(docs.sparkSession, [f"{folder}/counts-{k:07d}" for k in counted], folder) if parts else np.zeros(0, np.int64)
     return Spool(parts, total, rows[0].dtype if rows else "<u4")
 
 

@@ -1,7 +1,7 @@
 """Token ids in binary files: canonical length-limited Huffman codes.
 
 Layout of a dataset: ``codebook`` has the code length of every id (from the
-counts of all documents); ``part-N`` has, in ascending doc_id order, a bit
+counts of all documents); files ``part-N`` of bounded size have, in ascending doc_id order, a bit
 stream of all ids, the bit offset of every block of ``BLOCK`` ids, and for
 each document its id and its number of ids. All sections carry a CRC-32.
 Blocks decode independently; the decoder takes one step in thousands of blocks

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from answerloom.llm import packing, tokenfile
+from answerloom.llm import packing, shared, spool, tokenfile
 from answerloom.llm.queries import tokenizer_path
 from answerloom.llm.tokens import CachedEncoder
 
@@ -94,12 +94,18 @@ def test_damaged_file_is_noticed(tmp_path):
         list(tokenfile.read_part(path, table))
 
 
-def test_token_files(spark):
+@pytest.mark.parametrize("limit", [8_000_000, 8])
+def test_token_files(spark, monkeypatch, limit):
+    monkeypatch.setattr(spool, "FILE_TOKENS", limit)
+    monkeypatch.setattr(shared, "CLOSURE_ENTRIES", 3 if limit == 8 else 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2 if limit == 8 else 10_000)
     name = tokenizer_path("byte_bpe_50k.json")
     encoder = CachedEncoder(name)
     docs = spark.createDataFrame(ROWS, SCHEMA)
     folder, files = tokenfile.write_token_files(docs, name)
     got = [tuple(r) for r in tokenfile.read_token_files(spark, folder, files).orderBy("start").collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(files) > 6 or limit > 8
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     for (doc_id, text, _), row in zip(order, got, strict=True):
