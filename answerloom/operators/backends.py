@@ -28,11 +28,21 @@ class Embedder(Protocol):
 
 
 class Scorer(Protocol):
+    """A scorer that is an expression: a struct of p_neg, p_neu and p_pos."""
+
     name: str
 
     def score(self, text: Column, aspect: Column | None = None) -> Column: ...
 
 
+class BatchScorer(Protocol):
+    """A model: rows of p_neg, p_neu and p_pos for texts, each about its aspect where one is given. It is sent to the workers and called for batches of texts of like length."""
+
+    name: str
+
+    def predict(self, texts: list[str], aspects: list[str] | None = None) -> np.ndarray: ...
+
+
 class HashEmbedder:
     """Unit vectors from signed hashes of words and of their character n-grams."""
 
@@ -58,6 +68,10 @@ OPINION_WORDS = {
 }
 
 
+#: Words on either side of an aspect's word in which the default scorer looks first.
+REACH = 5
+
+
 class LexiconScorer:
     """p_neg, p_neu and p_pos from counts of opinion words, negation turned round: the same formula for a text and for a clause about an aspect."""
 
@@ -66,8 +80,20 @@ class LexiconScorer:
         self.name = "lexicon-" + hashlib.sha1(repr(sorted(self.words.items())).encode()).hexdigest()[:8]
 
     def score(self, text: Column, aspect: Column | None = None) -> Column:
+        """About an aspect, opinion words within ``REACH`` words of one of its words count, where there are any; else all do."""
         known = X.valence_map(self.words)
-        signs = F.transform(X.scan(text), lambda s: X.word_valence(s["word"], known) * F.when(s["negated"], -1).otherwise(1))
+        each = F.transform(X.scan(text), lambda s: F.struct(s["word"].alias("word"), (X.word_valence(s["word"], known) * F.when(s["negated"], -1).otherwise(1)).alias("sign")))
+
+        def heard(v: Column) -> Column:
+            every = F.transform(v, lambda s: s["sign"])
+            if aspect is None:
+                return every
+            names = F.regexp_extract_all(F.lower(aspect), F.lit("[a-z']{3,}"), 0)
+            at = F.filter(F.transform(v, lambda s, i: F.when(F.array_contains(names, s["word"]), i)), lambda i: i.isNotNull())
+            near = F.filter(F.transform(v, lambda s, i: F.when(F.exists(at, lambda a: F.abs(a - i) <= REACH), s["sign"])), lambda x: x.isNotNull())
+            return F.when(F.exists(near, lambda x: x != 0), near).otherwise(every)
+
+        signs = X.let(each, heard)
 
         def of(v: Column) -> Column:
             pos, neg = (F.size(F.filter(v, lambda x: x == sign)).cast("double") for sign in (1, -1))
@@ -107,10 +133,37 @@ def embed(texts: DataFrame, embedder: Embedder, key: str = "key", text: str = "t
     return unique.mapInArrow(run, f"{key} string, vec array<float>")
 
 
+#: Texts that a model gets at a time; those of a batch are sorted by length first, so that few are padded.
+MODEL_BATCH = 64
+
+
+def scored(df: DataFrame, scorer: Scorer | BatchScorer, text: str, aspect: str | None = None) -> DataFrame:
+    """``df`` with p_neg, p_neu and p_pos, by an expression or by a model called in batches."""
+    if not hasattr(scorer, "predict"):
+        return df.withColumn("_p", scorer.score(F.col(text), F.col(aspect) if aspect else None)).select(*df.columns, "_p.*")
+    from pyspark.sql import types as T
+
+    names = ("p_neg", "p_neu", "p_pos")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            about = [a or "" for a in batch.column(aspect).to_pylist()] if aspect else None
+            order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+            p = np.zeros((len(texts), 3))
+            for k in range(0, len(order), MODEL_BATCH):
+                at = order[k : k + MODEL_BATCH]
+                p[at] = scorer.predict([texts[i] for i in at], [about[i] for i in at] if about else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in p.T)], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
+
+
 def score_texts(texts: DataFrame, scorer: Scorer, key: str = "text_key", text: str = "text_clean") -> DataFrame:
     """key, p_neg, p_neu, p_pos, label and confidence of each distinct text."""
     unique = texts.select(key, text).groupBy(key).agg(F.min(text).alias(text))
-    out = unique.select(key, scorer.score(F.col(text)).alias("p")).select(key, "p.*")
+    out = scored(unique, scorer, text).drop(text)
     best = F.greatest("p_neg", "p_neu", "p_pos")
     label = F.when(F.col("p_neg") == best, "negative").when(F.col("p_neu") == best, "neutral").otherwise("positive")
     return out.withColumn("label", label).withColumn("confidence", best)
@@ -123,8 +176,7 @@ def score_aspects(assigned: DataFrame, clauses: DataFrame, theme_names: dict[int
     pairs = pairs.withColumn("theme", names[F.col("theme_idx")])
     key = ["clause_key", "scope", "theme_idx"]
     once = pairs.groupBy(*key).agg(F.min("clause").alias("_c"), F.min("theme").alias("_t"))
-    scored = once.select(*key, scorer.score(F.col("_c"), F.col("_t")).alias("p")).select(*key, "p.*")
-    return pairs.join(scored, key)
+    return pairs.join(scored(once, scorer, "_c", "_t").drop("_c", "_t"), key)
 
 
 def stars_to_classes(stars: Column) -> Column:

@@ -11,7 +11,7 @@ from ..operators.ingest import with_row_ids
 from ..operators.quality import summary_line
 from ..session import session
 from ..sources.config import Config
-from ..sources.sinks import write_tables
+from ..sources.sinks import write_tables, write_workbook
 from ..sources.state import load_json, save_json
 from ..sources.tables import read_table
 from .curation import EditError, Edits, edited, overrides
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rediscover", action="store_true", help="find the themes again")
     p.add_argument("--n-themes", type=int)
     p.add_argument("--edit", action="append", default=[], help="an edit command, several in order")
+    p.add_argument("--workbook", help="also write the results as a workbook")
     p.add_argument("--master")
     return p
 
@@ -59,6 +60,9 @@ def main(argv: list[str] | None = None) -> int:
     if out.result is not None:
         for name, path in write_tables({"results": out.result, "detail": out.detail, "ratings": out.ratings}, f"{a.run_dir}/tables").items():
             print(f"{name}: {path}")
+        if a.workbook:
+            write_workbook({"results": out.result, "detail": out.detail}, a.workbook)
+            print(f"workbook: {a.workbook}")
     return 0
 
 

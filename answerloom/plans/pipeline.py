@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.vectors import similarities
 from ..operators import assign, backends, discover, ingest, quality, rating, segment, sentiment, spelling
 from ..sources.config import Config, canonical
-from ..sources.state import Stages, VectorCache, load_json, save_json
+from ..sources.state import FrozenGroups, Stages, VectorCache, load_json, save_json
 
 #: A stage's number goes up when what it computes changes.
 VERSIONS = {"ingest": 1, "segment": 1, "embed": 1, "themes": 1, "assign": 1, "overall": 1, "aspects": 1}
@@ -80,7 +81,7 @@ def run(spark: SparkSession, table: DataFrame, config: Config, run_dir: str, sou
             out.cached.append(stage)
         return df
 
-    out.answers = kept("ingest", lambda: ingest_answers(table, config))
+    out.answers = kept("ingest", lambda: ingest_answers(table, config, embedder))
     if until == "ingest":
         return out
     seg = rules_from(segment.SegmentRules, config.get("segment"))
@@ -100,6 +101,10 @@ def run(spark: SparkSession, table: DataFrame, config: Config, run_dir: str, sou
         out.cached.append("themes")
     d_rules = rules_from(discover.DiscoverRules, config.get("themes"))
     required = [discover.Required(r["name"], tuple(r.get("seeds", ())), tuple(r.get("keywords", ())), bool(r.get("general")), bool(r.get("hidden"))) for r in (x if isinstance(x, dict) else {"name": x} for x in config.get("themes.required") or [])]
+    curation = config.get("themes.curation") or {}
+    required += [discover.Required(name, tuple(phrases if isinstance(phrases, list) else phrases.get("seeds", ())), tuple(() if isinstance(phrases, list) else phrases.get("keywords", ()))) for name, phrases in (curation.get("add") or {}).items()]
+    seeds = {name: [phrases] if isinstance(phrases, str) else list(phrases) for name, phrases in (curation.get("seeds") or {}).items()}
+    frozen = FrozenGroups(spark, f"{run_dir}/frozen", int(config.get("themes.frozen_keep", 8))) if config.get("themes.freeze", True) else None
     axis = config.get("themes.sentiment_axis") or {}
     from .curation import curate
 
@@ -117,7 +122,7 @@ def run(spark: SparkSession, table: DataFrame, config: Config, run_dir: str, sou
             spaces[scope] = centred(own, "vec", mean, d_rules.center_strength, direction, "_v").drop("vec").withColumnRenamed("_v", "vec")
         else:
             edit = (lambda ts: curate(ts, config.get("themes.curation"), d_rules.min_themes, bool(required))) if config.get("themes.curation") else None
-            out.themes[scope], spaces[scope] = discover.discover(own, d_rules, embedder, required, axis.get("positive"), axis.get("negative"), edit)
+            out.themes[scope], spaces[scope] = discover.discover(own, d_rules, embedder, required, axis.get("positive"), axis.get("negative"), edit, seeds, frozen)
     if not saved:
         save_json(themes_file, {s: [theme_record(t) for t in ts] for s, ts in out.themes.items()})
     if until == "themes":
@@ -151,7 +156,16 @@ def run(spark: SparkSession, table: DataFrame, config: Config, run_dir: str, sou
     return out
 
 
-def ingest_answers(table: DataFrame, config: Config) -> DataFrame:
+def without_non_answers(marked: DataFrame, examples: list[str], least: float, embedder) -> DataFrame:
+    """Answers that mean what one of the examples means are not valid; each distinct text is embedded once."""
+    texts = ingest.unique_texts(marked).select("text_key", "text_clean")
+    vectors = backends.embed(texts, embedder, "text_key", "text_clean")
+    near = similarities(vectors, "vec", np.asarray(embedder.encode(list(examples)), float), "_s").where(F.array_max("_s") >= least).select("text_key", F.lit(True).alias("_no"))
+    valid = F.col("valid") & F.col("_no").isNull()
+    return marked.join(near, "text_key", "left").withColumn("valid", valid).withColumn("text_key", F.when(valid, F.col("text_key")).otherwise("")).select(*marked.columns)
+
+
+def ingest_answers(table: DataFrame, config: Config, embedder=None) -> DataFrame:
     c = config.get("input") or {}
     if c.get("text_cols"):
         ingest.check_columns(table, list(c["text_cols"]))
@@ -172,14 +186,27 @@ def ingest_answers(table: DataFrame, config: Config) -> DataFrame:
         rows = spelling.corrections(marked, spelling.SpellRules(min_count=c.get("spell_min_count", 3)), spelling.protected_words(config.get("themes.protected") or [])).collect()
         fixed = marked.withColumn("text_clean", spelling.apply_corrections("text_clean", {r.word: r.correction for r in rows}))
         marked = fixed.withColumn("valid", X.is_answer("text_clean", c.get("min_chars", 2), c.get("non_answer_regex"))).withColumn("text_key", X.text_key("text_clean", "valid"))
+    if c.get("non_answer_examples"):
+        marked = without_non_answers(marked, c["non_answer_examples"], float(c.get("non_answer_min_sim", 0.8)), embedder or backends.HashEmbedder())
     return marked
 
 
+def learned_words(out: Run, scorer, min_support: int) -> dict[str, int]:
+    """Words that mean something clearly good or bad wherever they occur, by the scorer and by this survey's ratings."""
+    support = sentiment.word_support(out.aspects, out.answers.where("valid").select("text_key", "question"), min_support)
+    phrases = support.select("word", F.concat(F.lit("It is "), F.col("word"), F.lit(".")).alias("phrase"))
+    alone = backends.scored(phrases, scorer, "phrase")
+    return {r.word: r.sign for r in sentiment.learned_valence(support, alone).collect()}
+
+
 def rate(out: Run, config: Config, scorer) -> None:
     """Ratings of answers and themes, the detail rows and the wide result."""
     rules = rules_from(sentiment.RatingRules, config.get("output"))
     rules = replace(rules, spec=str(config.get("mode", "extended")).lower() == "spec")
     valence = dict(getattr(scorer, "words", {})) or None
+    # a model has no list of words; the survey itself then says which words judge
+    if not rules.spec and config.get("output.learn_valence", valence is None):
+        valence = learned_words(out, scorer, int(config.get("output.valence_min_support", 2))) or valence
     known = X.valence_map(valence) if valence and not rules.spec else None
     g = sentiment.aggregate_ratings(out.aspects, rules, None if rules.spec else valence)
     for c in ("ev_pos", "ev_neg", "complaint"):
@@ -191,7 +218,7 @@ def rate(out: Run, config: Config, scorer) -> None:
     polarity = {} if rules.spec else {r.question: r.polarity for r in rating.infer_polarity(joined.where("valid"), rules).collect()}
     given = config.get("output.question_polarity") or {}
     questions = [r.question for r in joined.select("question").distinct().orderBy("question").collect()]
-    wide_parts, columns = [], []
+    wide_parts, columns, short = [], [], ingest.short_names(questions)
     for q in questions:
         p = None
         if q in given:
@@ -215,11 +242,11 @@ def rate(out: Run, config: Config, scorer) -> None:
         w = own.select("row_id", "text", "valid", "overall_code").join(pivoted, "row_id", "left")
         general = next((t.name for t in themes if t.general), None)
         w = rating.fill_general(w, order, general, "text", "overall_code", "valid", rules)
-        prefix = f"{q} | " if len(questions) > 1 else ""
+        prefix = f"{short[q]} | " if len(questions) > 1 else ""
         w = w.select("row_id", F.col("text").alias(q), F.col("overall_code").alias(f"{prefix}Overall"), *[F.col(f"`{n}`").alias(f"{prefix}{n}") for n in order])
         columns += [f"{prefix}Overall", *[f"{prefix}{n}" for n in order]]
         wide_parts.append(w)
-    wide = wide_parts[0]
-    for w in wide_parts[1:]:
-        wide = wide.join(w, "row_id", "full")
+    # one aggregation for all questions: of a row's parts, one has each column
+    every = rating.combined(wide_parts)
+    wide = every.groupBy("row_id").agg(*[F.max(f"`{c}`").alias(c) for c in every.columns if c != "row_id"])
     out.result = rating.with_labels(wide, columns, rules)

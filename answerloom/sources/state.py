@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -82,16 +81,37 @@ class FrozenGroups:
             fs.delete(old.getPath(), True)
 
 
-def save_json(path: str | Path, value) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    tmp = path.with_suffix(path.suffix + ".tmp")
-    tmp.write_text(json.dumps(value, indent=1, ensure_ascii=False, default=str), encoding="utf-8")
-    tmp.replace(path)
+def _path(path: str):
+    """(file system, path) of a path or URI, as the session's tables resolve it."""
+    spark = SparkSession.active()
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def load_json(path: str | Path, default=None):
+def save_json(path: str, value) -> None:
+    """Written beside its place first, then renamed."""
+    fs, target = _path(path)
+    data = json.dumps(value, indent=1, ensure_ascii=False, default=str).encode("utf-8")
+    _, beside = _path(f"{path}.tmp")
+    out = fs.create(beside, True)
     try:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
-    except (OSError, ValueError):
+        for k in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[k : k + (1 << 20)]))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    fs.rename(beside, target)
+
+
+def load_json(path: str, default=None):
+    """What ``save_json`` wrote; the default where there is no such file or it holds no JSON."""
+    fs, source = _path(path)
+    if not fs.exists(source):
         return default
+    stream = fs.open(source)
+    try:
+        return json.loads(SparkSession.active()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
+        return default
+    finally:
+        stream.close()

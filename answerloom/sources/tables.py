@@ -58,9 +58,26 @@ def _windows(df: DataFrame, encoding: str) -> DataFrame:
     return df.select([F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(str.maketrans(old, new))) for c in df.columns])
 
 
-def read_delimited(spark: SparkSession, path: str, header_row: int = 0, multi_line: bool = True) -> DataFrame:
-    """A delimited file; encoding and delimiter are guessed from its start."""
+#: Bytes up to which a delimited file is read by one task, so that quoted values may have line breaks.
+ONE_TASK = 64 << 20
+
+
+def spans_lines(lines: list[str]) -> bool:
+    """Whether a quoted value goes on in the next line: a line has an odd number of quotes."""
+    return any(line.count('"') % 2 for line in lines[:-1])
+
+
+def read_delimited(spark: SparkSession, path: str, header_row: int = 0, multi_line: bool | None = None) -> DataFrame:
+    """A delimited file; encoding and delimiter are guessed from its start.
+
+    multi_line: whether values may have line breaks, which makes the file one task.
+    If not said, small files may, and large ones if values at the start do.
+    """
     data = head_bytes(spark, path)
+    if multi_line is None:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+        multi_line = size <= ONE_TASK or spans_lines(data.decode("latin-1").splitlines())
     encoding = guess_encoding(data)
     lines = data.decode(encoding, "ignore").removeprefix(BOM).splitlines()
     line = lines[header_row] if len(lines) > header_row else ""

@@ -17,10 +17,11 @@ from ..functions.vectors import centred
 from ..operators import assign, backends, ingest, segment
 
 
-def score_answers(answers: DataFrame, themes: list[assign.Theme], embedder, mean: np.ndarray, strength: float = 0.7, axis: np.ndarray | None = None, rules: assign.AssignRules = assign.AssignRules(), seg: segment.SegmentRules = segment.SegmentRules(), min_chars: int = 2, non_answer: str | None = None) -> DataFrame:
+def score_answers(answers: DataFrame, themes: list[assign.Theme], embedder, mean: np.ndarray, strength: float = 0.7, axis: np.ndarray | None = None, rules: assign.AssignRules = assign.AssignRules(), seg: segment.SegmentRules = segment.SegmentRules(), min_chars: int = 2, non_answer: str | None = None, keywords: assign.Keywords | None = None) -> DataFrame:
     """row_id, text_key, clause, theme_idx, sim and via of each clause of answers (row_id, text).
 
     Works on tables and on streams: vectors are computed within the rows, without a cache.
+    ``keywords`` are the tested words of a run on a table (``assign.tested_keywords``).
     """
     marked = ingest.mark_valid(answers, min_chars, non_answer).where("valid")
     parts = marked.select("row_id", "text_key", F.posexplode(_clauses(seg)).alias("pos", "clause"))
@@ -38,7 +39,8 @@ def score_answers(answers: DataFrame, themes: list[assign.Theme], embedder, mean
     with_vec = parts.mapInArrow(encode, T.StructType([*parts.schema.fields, T.StructField("vec", T.ArrayType(T.FloatType()))]))
     placed = centred(with_vec, "vec", mean, strength, axis, "_v").drop("vec").withColumnRenamed("_v", "vec")
     scored = assign.theme_similarities(placed, themes)
-    chosen = assign.chosen_themes(F.col("sims"), None, themes, rules)
+    hits = assign.keyword_flags(themes, keywords, rules) if keywords else None
+    chosen = assign.chosen_themes(F.col("sims"), hits, themes, rules)
     return scored.select("row_id", "text_key", "clause", F.explode(chosen).alias("a")).select("row_id", "text_key", "clause", "a.*")
 
 

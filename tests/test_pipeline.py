@@ -200,3 +200,100 @@ def test_settings():
     c = Config({"themes": {"n": 3, "curation": {"drop": ["x"]}}})
     assert c.signature() == Config({"themes": {"n": 3, "curation": {}}}).signature() != Config({"themes": {"n": 4}}).signature()
     assert c.get("themes.n") == 3 and c.get("themes.x.y", 7) == 7
+
+
+def changed(section, **values):
+    return Config(deep_merge(SETTINGS, {section: values}))
+
+
+def test_answers_that_mean_nothing_are_not_valid(spark, done, tmp_path):
+    run, _, table = done
+    some = run.answers.where("valid").orderBy("row_id").first().text_clean
+    out = pipeline.run(spark, table, changed("input", non_answer_examples=[some], non_answer_min_sim=0.999), str(tmp_path), "survey", until="ingest")
+    gone = {r.row_id for r in run.answers.where("valid").collect()} - {r.row_id for r in out.answers.where("valid").collect()}
+    assert gone == {r.row_id for r in run.answers.where(F.lower("text_clean") == some.lower()).collect()}
+    assert out.answers.where("not valid and text_key <> ''").count() == 0 and out.answers.columns == run.answers.columns
+
+
+def test_curation_seeds_and_additions(spark, done, tmp_path):
+    run, folder, table = done
+    name = next(t.name for t in run.themes["ALL"] if not t.general)
+    config = changed("themes", curation={"seeds": {name: ["the colour of the box", "a red box"]}, "add": {"Box Colour": ["the colour of the box"]}})
+    out = pipeline.run(spark, table, config, folder, "survey", until="themes")
+    assert "Box Colour" in [t.name for t in out.themes["ALL"]]
+    with pytest.raises(ValueError):
+        pipeline.run(spark, table, changed("themes", curation={"seeds": {"Nobody": ["x"]}}), folder, "survey", until="themes")
+    # the groups of the first run were kept, and both runs started from them
+    from pathlib import Path
+
+    assert len(list(Path(folder, "frozen").iterdir())) == 1
+
+
+def model():
+    class Model:
+        """A scorer called in batches, as a neural model would be."""
+
+        name = "model-1"
+
+        def predict(self, texts, aspects=None):
+            assert len(texts) <= backends.MODEL_BATCH and [len(t) for t in texts] == sorted(len(t) for t in texts)
+            good, bad = ("love", "great", "easy", "good"), ("hate", "bad", "slow", "poor", "expensive")
+            out = []
+            for t in texts:
+                p, n = (sum(w in t.lower() for w in ws) for ws in (good, bad))
+                out.append([n / (p + n + 0.1), 0.1 / (p + n + 0.1), p / (p + n + 0.1)])
+            return np.array(out)
+
+    return Model()
+
+
+def test_a_model_in_batches_and_learned_words(spark, done):
+    run, folder, table = done
+    out = pipeline.run(spark, table, Config(SETTINGS), folder, "survey", scorer=model())
+    words = pipeline.learned_words(out, model(), 2)
+    assert words and set(words.values()) <= {1, -1} and all(words.get(w, 1) == 1 for w in ("love", "great")) and all(words.get(w, -1) == -1 for w in ("slow", "hate"))
+    assert out.result.count() == table.count() and {r.p_pos for r in out.overall.collect()} != {r.p_pos for r in run.overall.collect()}
+    # opinion words near an aspect count first
+    df = spark.createDataFrame([("the screen is great but after a long day of hard use the battery is bad", "Battery"), ("the screen is great", "Battery")], "t string, a string")
+    near = backends.scored(df, backends.LexiconScorer(), "t", "a").collect()
+    assert near[0].p_neg > near[0].p_pos and near[1].p_pos > near[1].p_neg
+
+
+def test_topic_words_weigh_in(spark, done, tmp_path):
+    _, _, table = done
+    out = pipeline.run(spark, table, changed("themes", topic_weight=0.5, filler_mode="hybrid", sentiment_axis={"positive": ["good", "great"], "negative": ["bad", "poor"]}), str(tmp_path), "survey", until="themes")
+    assert len(out.themes["ALL"]) >= 3
+
+
+def test_streams_match_keywords(spark, done):
+    from answerloom.functions.vectors import group_means
+    from answerloom.operators import assign
+    from answerloom.streaming import score
+
+    run, _, table = done
+    embedder, themes = backends.HashEmbedder(), run.themes["ALL"]
+    mean = np.array(group_means(run.vectors.select(F.lit(0).alias("k"), "vec"), "k", "vec").first()["mean"])
+    frame = assign.theme_frame(spark, themes)
+    words = [[r.word for r in assign.matching_words(frame, assign.AssignRules()).where(F.col("theme_idx") == j).orderBy("position").collect()] for j in range(len(themes))]
+    keywords = assign.Keywords(words, [None] * len(themes), assign.other_words(themes), [])
+    via = [{r.via for r in score.score_answers(table.select("row_id", "text"), themes, embedder, mean, keywords=k).select("via").distinct().collect()} for k in (None, keywords)]
+    assert not via[0] & {"both", "keyword"} and via[1] & {"both", "keyword"}
+
+
+def test_json_through_the_file_system(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/er/x.json"
+    assert state.load_json(path) is None and state.load_json(path, 3) == 3
+    state.save_json(path, {"ä": [1, None]})
+    state.save_json(path, {"ä": [2, None]})
+    assert state.load_json(path) == {"ä": [2, None]}
+    (tmp_path / "bad.json").write_text("{")
+    assert state.load_json(f"{tmp_path}/bad.json") is None
+
+
+def test_large_delimited_files_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ONE_TASK", 10)
+    (tmp_path / "a.csv").write_text("q,text\n" + "x,hello\n" * 50)
+    (tmp_path / "b.csv").write_text('q,text\nx,"one\ntwo"\n')
+    assert tables.read_table(spark, f"file://{tmp_path}/a.csv").count() == 50
+    assert [r.text for r in tables.read_table(spark, f"file://{tmp_path}/b.csv").collect()] == ["one\ntwo"]
+    assert not tables.spans_lines(['a,"b"', "c"]) and tables.spans_lines(['a,"b', 'c"', ""])
