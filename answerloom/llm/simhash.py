@@ -291,13 +291,17 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows alike in both the least in its other columns stays.
     """
     rows, named = components(docs)
-    alike = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("least")
-    kept = alike.groupBy("fp").agg(least).join(named, "fp").groupBy("root").agg(F.min("least").alias("least"))
-    folder = work_dir(docs.sparkSession, "simhash-kept")
-    kept.select("least.doc_id", "least.text_hash", "least.n").write.parquet(f"{folder}/kept")
-    kept = docs.sparkSession.read.schema("doc_id long, text_hash long, n long").parquet(f"{folder}/kept")
-    single, several = kept.where("n = 1").drop("n"), kept.where("n > 1").drop("n")
+    # combined where the rows lie, however many share a fingerprint
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least")
+    firsts = rows.groupBy("fp").agg(least).join(named, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    alike = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "simhash-kept")
+    firsts.select("least.doc_id", "least.text_hash").write.parquet(f"{folder}/kept")
+    alike.select("doc_id", "text_hash").write.parquet(f"{folder}/alike")
+    kept, alike = (spark.read.schema("doc_id long, text_hash long").parquet(f"{folder}/{name}") for name in ("kept", "alike"))
+    # joined by the hash first, as ids may be null
+    twice = (kept["text_hash"] == alike["text_hash"]) & kept["doc_id"].eqNullSafe(alike["doc_id"])
+    single, several = kept.join(alike, twice, "left_anti"), kept.join(alike, twice, "left_semi")
     text_hash = F.xxhash64(docs["text"].cast("string"))
 
     def same(own: DataFrame):
