@@ -15,7 +15,7 @@ from ..sources.sinks import write_tables, write_workbook
 from ..sources.state import load_json, save_json
 from ..sources.tables import read_table
 from .curation import EditError, Edits, edited, overrides
-from .pipeline import run
+from .pipeline import run, suggest_count
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,11 +23,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config")
     p.add_argument("--input", required=True)
     p.add_argument("--run-dir", default="runs/auto")
-    p.add_argument("--until", default="result", choices=["ingest", "segment", "embed", "themes", "assign", "result"])
+    p.add_argument("--until", default="result", choices=["ingest", "segment", "embed", "themes", "assign", "report", "result"])
     p.add_argument("--force", action="store_true", help="compute every stage again")
     p.add_argument("--rediscover", action="store_true", help="find the themes again")
     p.add_argument("--n-themes", type=int)
     p.add_argument("--edit", action="append", default=[], help="an edit command, several in order")
+    p.add_argument("--suggest", action="store_true", help="try theme counts and say which to ask for")
     p.add_argument("--workbook", help="also write the results as a workbook")
     p.add_argument("--master")
     return p
@@ -53,6 +54,12 @@ def main(argv: list[str] | None = None) -> int:
             except EditError as e:
                 print(e)
                 return 2
+    if a.suggest:
+        rows, best = suggest_count(spark, table, config.with_overrides(overrides(edits, config.get("themes.curation"))), a.run_dir, a.input)
+        for r in rows:
+            print(" ".join(f"{k}={v:.3g}" if isinstance(v, float) else f"{k}={v}" for k, v in r.items()))
+        print(f"ask for {best} themes" if best else "too few clauses")
+        return 0
     out = run(spark, table, config.with_overrides(overrides(edits, config.get("themes.curation"))), a.run_dir, a.input, a.until, a.force or a.rediscover)
     save_json(edits_file, edits.record())
     for scope, report in out.report.items():

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import similarities
-from ..operators import assign, backends, discover, ingest, quality, rating, segment, sentiment, spelling
+from ..operators import assign, backends, discover, ingest, quality, rating, segment, sentiment, spelling, suggest
 from ..sources.config import Config, canonical
 from ..sources.state import FrozenGroups, Stages, VectorCache, load_json, save_json
 
@@ -137,6 +137,12 @@ def run(spark: SparkSession, table: DataFrame, config: Config, run_dir: str, sou
     out.assigned = kept("assign", lambda: union)
     if until == "assign":
         return out
+    for scope in scopes:
+        own = scoped.where(F.col("scope") == scope).select("clause_id", "clause", "text_key")
+        out.report[scope] = quality.scope_report(own, out.assigned.where(F.col("scope") == scope), out.themes[scope], d_rules.name_min_coverage, d_rules.name_min_lift, d_rules.n_keywords)
+    save_json(f"{run_dir}/quality.json", out.report)
+    if until == "report":
+        return out
     out.overall = kept("overall", lambda: backends.score_texts(ingest.unique_texts(out.answers), scorer))
     names = {s: {j: t.name for j, t in enumerate(ts)} for s, ts in out.themes.items()}
 
@@ -149,13 +155,29 @@ def run(spark: SparkSession, table: DataFrame, config: Config, run_dir: str, sou
 
     out.aspects = kept("aspects", aspects)
     rate(out, config, scorer)
-    for scope in scopes:
-        own = scoped.where(F.col("scope") == scope).select("clause_id", "clause", "text_key")
-        out.report[scope] = quality.scope_report(own, out.assigned.where(F.col("scope") == scope), out.themes[scope], d_rules.name_min_coverage, d_rules.name_min_lift, d_rules.n_keywords)
-    save_json(f"{run_dir}/quality.json", out.report)
     return out
 
 
+def suggest_count(spark: SparkSession, table: DataFrame, config: Config, run_dir: str, source: str = "", counts: list[int] | None = None, progress=None, **models) -> tuple[list[dict], int | None]:
+    """Tries theme counts: a row of metrics for each that works, and the count to take.
+
+    Answers, clauses and vectors are computed once; each count finds and assigns its own themes.
+    """
+    if counts is None:
+        base = run(spark, table, config, run_dir, source, "embed", **models)
+        low, high = suggest.default_range(base.vectors.count())
+        counts = list(range(low, high + 1))
+
+    def report_for(n: int) -> list[dict]:
+        return list(run(spark, table, config.with_overrides({"themes": {"n_themes": n}}), run_dir, source, "report", **models).report.values())
+
+    rows = suggest.sweep(counts, report_for, progress)
+    if not rows:
+        return [], None
+    best = suggest.recommend(spark.createDataFrame([{k: v if k == "asked" else float(v) for k, v in r.items()} for r in rows])).first()
+    return rows, int(best["asked"])
+
+
 def without_non_answers(marked: DataFrame, examples: list[str], least: float, embedder) -> DataFrame:
     """Answers that mean what one of the examples means are not valid; each distinct text is embedded once."""
     texts = ingest.unique_texts(marked).select("text_key", "text_clean")
@@ -183,7 +205,8 @@ def ingest_answers(table: DataFrame, config: Config, embedder=None) -> DataFrame
             answers = ingest.unpivot_answers(table, list(found.text_cols), c.get("id_col"))
     marked = ingest.mark_valid(answers, c.get("min_chars", 2), c.get("non_answer_regex"))
     if c.get("spell_correct"):
-        rows = spelling.corrections(marked, spelling.SpellRules(min_count=c.get("spell_min_count", 3)), spelling.protected_words(config.get("themes.protected") or [])).collect()
+        known = table.sparkSession.read.text(c["dictionary"]).select(F.split(F.btrim("value"), r"\s+")[0].alias("word")) if c.get("dictionary") else None
+        rows = spelling.corrections(marked, spelling.SpellRules(min_count=c.get("spell_min_count", 3)), spelling.protected_words(config.get("themes.protected") or []), known).collect()
         fixed = marked.withColumn("text_clean", spelling.apply_corrections("text_clean", {r.word: r.correction for r in rows}))
         marked = fixed.withColumn("valid", X.is_answer("text_clean", c.get("min_chars", 2), c.get("non_answer_regex"))).withColumn("text_key", X.text_key("text_clean", "valid"))
     if c.get("non_answer_examples"):

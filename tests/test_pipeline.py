@@ -297,3 +297,20 @@ def test_large_delimited_files_are_split(spark, tmp_path, monkeypatch):
     assert tables.read_table(spark, f"file://{tmp_path}/a.csv").count() == 50
     assert [r.text for r in tables.read_table(spark, f"file://{tmp_path}/b.csv").collect()] == ["one\ntwo"]
     assert not tables.spans_lines(['a,"b"', "c"]) and tables.spans_lines(['a,"b', 'c"', ""])
+
+
+def test_counts_are_tried_and_one_is_suggested(spark, done):
+    _, folder, table = done
+    seen = []
+    rows, best = pipeline.suggest_count(spark, table, Config(SETTINGS), folder, "survey", [5, 6], lambda k, n, count: seen.append((k, n, count)))
+    assert [r["asked"] for r in rows] == [5, 6] and best in (5, 6) and seen == [(1, 2, 5), (2, 2, 6)]
+    assert all(0 <= r["unmatched"] <= 1 and r["themes"] <= r["asked"] + 1 for r in rows)
+
+
+def test_a_dictionary_decides_what_is_misspelt(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("battery 900\nscreen 400\nthe\nis\ngood\n")
+    rows = [(k, "q", "the battery is good") for k in range(5)] + [(7, "q", "the batery is good"), (8, "q", "the scren is good")]
+    table = spark.createDataFrame(rows, "row_id long, question string, text string")
+    base = {"question_col": "question", "text_col": "text", "spell_correct": True, "dictionary": f"file://{tmp_path}/words.txt"}
+    out = {r.row_id: r.text_clean for r in pipeline.ingest_answers(table, Config({"input": base})).collect()}
+    assert out[7] == "the battery is good" and out[8] == "the scren is good"
