@@ -58,6 +58,27 @@ def _windows(df: DataFrame, encoding: str) -> DataFrame:
     return df.select([F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(str.maketrans(old, new))) for c in df.columns])
 
 
+#: Bytes of input for each core from which a table's own splits keep all cores busy.
+SPLIT = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table read from few small files, dealt to all cores before heavy work on texts.
+
+    A file of one row group is one task however many cores there are. Tables of
+    more files than cores, or of enough bytes for each, stay as they are.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(files[0]).getFileSystem(spark._jsc.hadoopConfiguration())
+    if sum(fs.getFileStatus(path(f)).getLen() for f in files) >= SPLIT * cores:
+        return df
+    return df.repartition(cores)
+
+
 #: Bytes up to which a delimited file is read by one task, so that quoted values may have line breaks.
 ONE_TASK = 64 << 20
 
