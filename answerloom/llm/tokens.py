@@ -270,7 +270,10 @@ class CachedEncoder:
         offsets = np.append(first, len(b)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(b))]).dictionary_encode()
         before = self.known, self.used, self.weight
-        distinct = chunks.dictionary.to_pylist()
+        known = chunks.dictionary
+        edges = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1].tolist()
+        data = known.buffers()[2].to_pybytes()
+        distinct = [data[i:j] for i, j in zip(edges, edges[1:])]
         which = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
         new = self.index.new
         self._learn()
