@@ -24,3 +24,13 @@ BESIDE_ACCENTS = [(1, 0, "user", "écon une la"), (2, 0, "user", "conñ de un"),
 def test_lexical_flags_beside_accents(spark, tmp_path):
     got = check_against_sql(spark, tmp_path, "lexical_flags", BESIDE_ACCENTS)
     assert {r["conv_id"]: (r["flip_pos"], r["flip_neg"]) for r in got} == {1: (False, True), 2: (True, False), 3: (False, True), 4: (False, False), 5: (False, False)}
+
+
+def test_negation_scan_beside_accents(spark, tmp_path):
+    got = check_against_sql(spark, tmp_path, "negation_scan", BESIDE_ACCENTS)
+    assert {r["conv_id"]: r["negated"] for r in got} == {1: 2, 2: 2, 3: 1, 4: 0, 5: 0}
+
+
+def test_firm_text_beside_accents(spark, tmp_path):
+    got = check_against_sql(spark, tmp_path, "firm_text", [(1, 0, "user", "écon a bit of it"), (2, 0, "user", "con_ a bit of it")])
+    assert {r["conv_id"]: r["firm"] for r in got} == {1: True, 2: False}
