@@ -77,16 +77,18 @@ def aggregate_ratings(scored: DataFrame, rules: RatingRules = RatingRules(), val
     return g
 
 
-def word_support(scored: DataFrame, questions: DataFrame, min_support: int = 2) -> DataFrame:
-    """(word, n, questions array of mean difference): how the clauses with a word, not negated, are rated in each question.
+def word_support(scored: DataFrame, questions: DataFrame, min_support: int = 2, negated: bool = False) -> DataFrame:
+    """(word, n, questions array of mean difference): how the clauses with a word are rated in each question.
 
     scored: text_key, clause_key, clause, p_pos, p_neg; questions: text_key, question.
+    A negated word says the opposite, so its clause does not count for it, unless ``negated`` words are asked for as well.
     """
     one = scored.groupBy("text_key", "clause_key").agg(F.min("clause").alias("clause"), (F.avg("p_pos") - F.avg("p_neg")).alias("v"))
     rows = one.join(questions.select("text_key", "question").distinct(), "text_key")
-    words = F.array_distinct(F.transform(F.filter(X.scan("clause"), lambda s: ~s["negated"] & F.rlike(s["word"], F.lit("^[a-z']{3,}$"))), lambda s: s["word"]))
-    each = rows.select("question", "v", F.explode(words).alias("word"))
-    by_question = each.groupBy("word", "question").agg(F.count("*").alias("n"), F.avg("v").alias("mean_v"))
+    words = F.array_distinct(F.transform(F.filter(X.scan("clause"), lambda s: (F.lit(negated) | ~s["negated"]) & F.rlike(s["word"], F.lit("^[a-z']{3,}$"))), lambda s: s["word"]))
+    # sums of decimals do not hang on the order of the rows, as those of doubles do
+    each = rows.select("question", F.col("v").try_cast("decimal(38,20)").alias("v"), F.explode(words).alias("word"))
+    by_question = each.groupBy("word", "question").agg(F.count("*").alias("n"), F.try_divide(F.sum("v").cast("double"), F.count("v")).alias("mean_v"))
     return by_question.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("mean_v").alias("means")).where(F.col("n") >= min_support)
 
 

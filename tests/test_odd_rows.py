@@ -34,3 +34,12 @@ def test_negation_scan_beside_accents(spark, tmp_path):
 def test_firm_text_beside_accents(spark, tmp_path):
     got = check_against_sql(spark, tmp_path, "firm_text", [(1, 0, "user", "écon a bit of it"), (2, 0, "user", "con_ a bit of it")])
     assert {r["conv_id"]: r["firm"] for r in got} == {1: True, 2: False}
+
+
+# each third word is negated wherever it stands
+NEGATED = [(k, 0, "user", "tall or no small") for k in range(20)]
+
+
+def test_valence_consistency_counts_negated_words(spark, tmp_path):
+    got = check_against_sql(spark, tmp_path, "valence_consistency", NEGATED)
+    assert {r["word"]: r["sign"] for r in got} == {"tall": 1, "small": -1}
