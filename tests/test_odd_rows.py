@@ -43,3 +43,17 @@ NEGATED = [(k, 0, "user", "tall or no small") for k in range(20)]
 def test_valence_consistency_counts_negated_words(spark, tmp_path):
     got = check_against_sql(spark, tmp_path, "valence_consistency", NEGATED)
     assert {r["word"]: r["sign"] for r in got} == {"tall": 1, "small": -1}
+
+
+def test_word_support_counts_negated_words(spark, tmp_path):
+    got = check_against_sql(spark, tmp_path, "word_support", NEGATED)
+    assert {r["word"]: r["n"] for r in got} == {"tall": 20, "small": 20}
+
+
+def test_word_support_leaves_negated_words_out_by_itself(spark):
+    from answerloom.operators import sentiment
+
+    scored = spark.createDataFrame([(str(k), str(k), "tall or no small", 0.35, 0.33) for k in range(50)], "text_key string, clause_key string, clause string, p_pos double, p_neg double")
+    questions = scored.selectExpr("text_key", "'q' AS question")
+    got = {tuple(r) for n in (1, 7) for r in sentiment.word_support(scored.repartition(n), questions).selectExpr("word", "n", "means[0]").collect()}
+    assert got == {("tall", 50, 0.35 - 0.33)}
