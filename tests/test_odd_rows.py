@@ -57,3 +57,55 @@ def test_word_support_leaves_negated_words_out_by_itself(spark):
     questions = scored.selectExpr("text_key", "'q' AS question")
     got = {tuple(r) for n in (1, 7) for r in sentiment.word_support(scored.repartition(n), questions).selectExpr("word", "n", "means[0]").collect()}
     assert got == {("tall", 50, 0.35 - 0.33)}
+
+
+def test_word_groups_embed_each_text_once(spark, monkeypatch):
+    from answerloom.operators import backends
+
+    from test_queries import SF
+
+    if not SF.is_dir():
+        pytest.skip("the test tables are not here")
+    encoded = spark.sparkContext.accumulator(0)
+
+    class Counting(backends.HashEmbedder):
+        def encode(self, texts):
+            encoded.add(len(texts))
+            return super().encode(texts)
+
+    monkeypatch.setattr(backends, "HashEmbedder", Counting)
+    assert len(QUERIES["word_groups"](spark, str(SF)).collect()) > 1
+    assert encoded.value == spark.read.parquet(f"{SF}/conversations.parquet").where("text is not null").count()
+
+
+def test_hash_vectors_are_those_of_the_plain_formula(monkeypatch):
+    import re
+    import zlib
+
+    import numpy as np
+
+    from answerloom.operators import backends
+
+    monkeypatch.setattr(backends, "WORD_BYTES", 0)  # 1,024 words are remembered
+    texts = ["", "Été à la mer, été", "a a b_1 don't", " ".join(f"w{k % 1500}" for k in range(4000)), "x" * 3000, "w1 w2"]
+    want = np.zeros((len(texts), 16))
+    for row, text in zip(want, texts):
+        words = re.findall(r"\w+", text.lower())
+        for f in [*(f"w:{w}" for w in words), *(f"{n}:{p[i : i + n]}" for w in words for n in (3, 4) for p in [f"<{w}>"] for i in range(len(p) - n + 1))]:
+            h = zlib.crc32(f.encode())
+            row[h % 16] += 1.0 if h >> 20 & 1 else -1.0
+    want = (want / (np.linalg.norm(want, axis=1, keepdims=True) + 1e-12)).astype(np.float32)
+    embedder = backends.HashEmbedder(16)
+    for _ in range(2):
+        assert (embedder.encode(texts) == want).all()
+
+
+def test_member_means(spark):
+    from answerloom.functions.vectors import member_means
+
+    rows = [(["a", "b"], [1.0, 2.0]), (["b", "x"], [3.0, 4.0]), ([], [9.0, 9.0]), (None, [9.0, 9.0]), (["a"], None)]
+    df = spark.createDataFrame(rows, "keys array<string>, vec array<float>")
+    for n in (1, 3):
+        got = {r.key: (r.n, r["mean"]) for r in member_means(df.repartition(n), "keys", "vec", ["a", "b", "c"]).collect()}
+        assert got == {"a": (1, [1.0, 2.0]), "b": (2, [2.0, 3.0])}
+    assert member_means(df.limit(0), "keys", "vec", ["a"]).count() == 0
