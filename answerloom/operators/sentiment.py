@@ -82,10 +82,12 @@ def word_support(scored: DataFrame, questions: DataFrame, min_support: int = 2,
 
     scored: text_key, clause_key, clause, p_pos, p_neg; questions: text_key, question.
     A negated word says the opposite, so its clause does not count for it, unless ``negated`` words are asked for as well.
+    Different texts under one clause_key are one clause with the words of all.
     """
-    one = scored.groupBy("text_key", "clause_key").agg(F.min("clause").alias("clause"), (F.avg("p_pos") - F.avg("p_neg")).alias("v"))
+    one = scored.groupBy("text_key", "clause_key").agg(F.collect_set("clause").alias("clauses"), (F.avg("p_pos") - F.avg("p_neg")).alias("v"))
     rows = one.join(questions.select("text_key", "question").distinct(), "text_key")
-    words = F.array_distinct(F.transform(F.filter(X.scan("clause"), lambda s: (F.lit(negated) | ~s["negated"]) & F.rlike(s["word"], F.lit("^[a-z']{3,}$"))), lambda s: s["word"]))
+    scanned = F.flatten(F.transform("clauses", lambda c: X.scan(c)))
+    words = F.array_distinct(F.transform(F.filter(scanned, lambda s: (F.lit(negated) | ~s["negated"]) & F.rlike(s["word"], F.lit("^[a-z']{3,}$"))), lambda s: s["word"]))
     # sums of decimals do not hang on the order of the rows, as those of doubles do
     each = rows.select("question", F.col("v").try_cast("decimal(38,20)").alias("v"), F.explode(words).alias("word"))
     by_question = each.groupBy("word", "question").agg(F.count("*").alias("n"), F.try_divide(F.sum("v").cast("double"), F.count("v")).alias("mean_v"))

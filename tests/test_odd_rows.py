@@ -71,6 +71,18 @@ def test_word_support_counts_negated_words(spark, tmp_path):
     assert {r["word"]: r["n"] for r in got} == {"tall": 20, "small": 20}
 
 
+# one key with two texts, in one role and in two; nulls in either part of a key; a capital that is one letter in lower case
+ODD_KEYS = [(1, 0, "user", "tall small"), (1, 0, "user", "small wide"), (1, 0, "assistant", "tall"), (None, 1, "user", "tall"), (1, None, "user", "tall"), (1, 1, "user", "İtall tall"), (1, 1, None, "tall"), (-1, 1, "user", "wide"), (1, -1, "user", "wide"), (2, 2, "user", None)]
+
+
+@pytest.mark.parametrize("name", ["word_support", "valence_consistency"])
+def test_odd_keys_of_word_counts(spark, tmp_path, name):
+    rows = [(*r[:3], r[3] and f"{r[3]} {r[3]}") for r in ODD_KEYS] + [(k, 0, "user", "tall, small, wide") for k in range(10, 30)]
+    got = check_against_sql(spark, tmp_path, name, rows)
+    if name == "word_support":
+        assert {r["word"]: r["n"] for r in got} == {"tall": 25, "small": 21, "wide": 23}
+
+
 def test_word_support_leaves_negated_words_out_by_itself(spark):
     from answerloom.operators import sentiment
 
